@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytelode.llm import mixing
+from bytelode.llm import linededup, mixing, topk, warc
 from bytelode.llm.common import table
 
 
@@ -12,5 +12,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing}
-SQL: dict[str, str] = {}
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_top_k, op7_line_dedup, op10_warc)}
+SQL: dict[str, str] = {"op4_top_k": topk.SQL, "op7_line_dedup": linededup.SQL, "op10_warc": warc.SQL}

@@ -64,3 +64,16 @@ def ascii_lower(column: Column) -> Column:
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, mod ``modulus``; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, limit: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``limit`` labelled rows outside the held-out fold, half of them of each label.
+
+    The rows that come first by a hash of their id; a document with several labels counts with the smallest.  The bound
+    makes it safe to broadcast the ids.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", modulus) != held))
+    known = known.groupBy("doc_id").agg(F.min(label).alias("label"))
+    order = F.xxhash64("doc_id")
+    picked = [known.filter(F.col("label") == v).orderBy(order, "doc_id").limit(limit // 2) for v in (0, 1)]
+    return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytelode.llm import linededup, mixing, topk, warc
+from bytelode.llm import langid, linededup, mixing, quality, topk, toxicity, warc
 from bytelode.llm.common import table
 
 
@@ -16,13 +16,25 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_top_k, op7_line_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_top_k, op5_quality, op6_language, op7_line_dedup, op8_toxicity, op10_warc)}
 SQL: dict[str, str] = {"op4_top_k": topk.SQL, "op7_line_dedup": linededup.SQL, "op10_warc": warc.SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytelode.llm import langid, linededup, mixing, quality, topk, toxicity, warc
+from bytelode.llm import langid, linededup, mixing, ngram_join, quality, topk, toxicity, warc
 from bytelode.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -36,5 +40,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_top_k, op5_quality, op6_language, op7_line_dedup, op8_toxicity, op10_warc)}
-SQL: dict[str, str] = {"op4_top_k": topk.SQL, "op7_line_dedup": linededup.SQL, "op10_warc": warc.SQL}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_ngram_join, op4_top_k, op5_quality, op6_language, op7_line_dedup, op8_toxicity, op10_warc)}
+SQL: dict[str, str] = {"op3_ngram_join": ngram_join.SQL, "op4_top_k": topk.SQL, "op7_line_dedup": linededup.SQL, "op10_warc": warc.SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytelode.llm import langid, linededup, mixing, ngram_join, quality, topk, toxicity, warc
+from bytelode.llm import decontam, langid, licenses, linededup, mixing, ngram_join, quality, topk, toxicity, warc
 from bytelode.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
@@ -36,9 +40,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_ngram_join, op4_top_k, op5_quality, op6_language, op7_line_dedup, op8_toxicity, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_ngram_join, op4_top_k, op5_quality, op6_language, op7_line_dedup, op8_toxicity, op9_licenses, op10_warc)}
 SQL: dict[str, str] = {"op3_ngram_join": ngram_join.SQL, "op4_top_k": topk.SQL, "op7_line_dedup": linededup.SQL, "op10_warc": warc.SQL}

@@ -174,18 +174,19 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def mixed_texts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix by document: the columns of ``mix_documents`` and source, with ``text`` being the words taken, piece by
-    piece, repeats included, and ``slots`` the (shard, turn) of each piece.  Documents of which nothing is taken go."""
+    piece, repeats included, and ``slots`` the (shard, turn) of each piece; a document of which nothing is taken has an
+    empty text."""
     _, slots, pieces = mix_plan(docs, mix)
-    part = F.struct("skip", "pass", "length", "shard", "turn")
+    part = F.when(F.col("turn").isNotNull(), F.struct("skip", "pass", "length", "shard", "turn"))
     picked = (
-        pieces.join(slots, ["sid", "block"])
-        .groupBy("sid", "bucket", "row").agg(*[F.first(c).alias(c) for c in ("doc_id", "mark", "size", "source_size", "target")], F.sum("length").alias("taken"), F.array_sort(F.collect_list(part)).alias("parts"))
+        pieces.join(slots, ["sid", "block"], "left")
+        .groupBy("sid", "bucket", "row").agg(*[F.first(c).alias(c) for c in ("doc_id", "mark", "size", "source_size", "target")], F.coalesce(F.sum(F.when(F.col("turn").isNotNull(), F.col("length"))), F.lit(0)).alias("taken"), F.array_sort(F.collect_list(part)).alias("parts"))
     )
     same = Window.partitionBy("doc_id", "mark")
     picked = picked.withColumn("copy", F.row_number().over(same.orderBy("sid", "bucket", "row"))).withColumnRenamed("doc_id", "id")
     texts = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("mark"))
     texts = texts.withColumn("copy", F.row_number().over(same.orderBy(F.col("source").asc_nulls_last())))
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    words = F.coalesce(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.array().cast("array<string>"))
     cut = F.flatten(F.transform("parts", lambda p: F.slice("words", (p["skip"] + 1).cast("int"), p["length"].cast("int"))))
     return (
         texts.join(picked, texts["doc_id"].eqNullSafe(picked["id"]) & (texts["mark"] == picked["mark"]) & (texts["copy"] == picked["copy"]))

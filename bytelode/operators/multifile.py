@@ -50,6 +50,17 @@ KINDS = (
 HEAD = 1 << 20
 
 
+def checked(kind: Parts):
+    def valid(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("path")
+        length = int(pdf["length"].iloc[0])
+        row = (kind.name, pdf["folder"].iloc[0], pdf["stem"].iloc[0], list(pdf["path"]), length)
+        good = kind.valid([bytes(h) for h in pdf["head"]], length)
+        return pd.DataFrame([row] if good else [], columns=["handler", "folder", "name", "paths", "length"])
+
+    return valid
+
+
 def multi_files(files: DataFrame) -> DataFrame:
     """(handler, folder, name, paths, length) of valid sets.  The first MiB of each part is looked at."""
     out = None
@@ -59,11 +70,6 @@ def multi_files(files: DataFrame) -> DataFrame:
             sets = sets.filter(F.col("first").endswith(f".{kind.first}"))
         heads = sets.select("folder", "stem", F.explode("paths").alias("path"), "length").join(files.select("path", F.substring("content", 1, HEAD).alias("head")), "path")
 
-        def valid(pdf: pd.DataFrame, kind: Parts = kind) -> pd.DataFrame:
-            pdf = pdf.sort_values("path")
-            good = kind.valid([bytes(h) for h in pdf["head"]], int(pdf["length"].iloc[0]))
-            return pd.DataFrame({"handler": [kind.name], "folder": [pdf["folder"].iloc[0]], "name": [pdf["stem"].iloc[0]], "paths": [list(pdf["path"])], "length": [int(pdf["length"].iloc[0])]}) if good else pd.DataFrame({c: [] for c in ("handler", "folder", "name", "paths", "length")})
-
-        found = heads.groupBy("folder", "stem").applyInPandas(valid, "handler string, folder string, name string, paths array<string>, length long")
+        found = heads.groupBy("folder", "stem").applyInPandas(checked(kind), "handler string, folder string, name string, paths array<string>, length long")
         out = found if out is None else out.unionByName(found)
     return out

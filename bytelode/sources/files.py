@@ -20,7 +20,10 @@ SKIPPED_SUFFIXES = (".rlib",)
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """(file_id, path, length, content) of files below ``path``; columns that aren't used aren't read."""
+    """(file_id, path, length, content) of files below ``path``; columns that aren't used aren't read.
+
+    Spark's reader gives no row for an empty file.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -43,9 +43,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    # What the write has shuffled is of no more use.  Spark drops such files when the driver's collector finds them unused.
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 bits of the filters below; a filter is a table of at most so many rows, whatever it is made of.
+FILTER_WORDS = 1 << 16
+
+
+def with_maybe(rows: DataFrame, ids: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
+    """``rows`` with a boolean column: false only if the key is certainly not among ``ids`` (one hash, a fixed number of bits).
+
+    Serves to leave most rows out of a shuffle; what is true needs an exact join yet.
+    """
+    spot = f"pmod(xxhash64({key}), {64 * FILTER_WORDS})"
+    bits = ids.groupBy(F.expr(f"{spot} div 64").alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({spot} % 64 AS INT))")).alias("_bits"))
+    # At most FILTER_WORDS rows of 16 bytes.
+    found = rows.join(F.broadcast(bits), F.expr(f"{spot} div 64") == F.col("_word"), "left")
+    return found.withColumn(name, F.expr(f"coalesce(shiftrightunsigned(_bits, CAST({spot} % 64 AS INT)) & 1, 0) = 1")).drop("_word", "_bits")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``rows`` whose key is not among ``ids``; only those that may be are shuffled."""
+    marked = with_maybe(rows, ids, "_maybe", key)
+    sure = marked.filter(~F.col("_maybe")).drop("_maybe")
+    return sure.unionByName(marked.filter("_maybe").drop("_maybe").join(ids, key, "left_anti"))
+
+
 def arrow_batches(spark: SparkSession, records: int = 2048) -> None:
     """Bound what one Arrow batch of whole texts may hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))

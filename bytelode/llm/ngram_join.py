@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import map_arrow, materialize
+from bytelode.llm.common import map_arrow, materialize, with_maybe, without
 
 U = np.uint64
 MIX = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)]
@@ -36,13 +36,12 @@ MIX = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)]
 @dataclass(frozen=True)
 class Join:
     """n: words of a shingle.  percent: of the union that the intersection must reach.  sketch: bits of the counters'
-    address.  block: members of a list that meet in one tile.  bloom: words of 64 bits of the filter for live documents."""
+    address.  block: members of a list that meet in one tile."""
 
     n: int = 3
     percent: int = 90
     sketch: int = 20
-    block: int = 1024
-    bloom: int = 1 << 16
+    block: int = 512
 
     def need(self, size: np.ndarray | int):
         """The smallest overlap that a set of this size can reach the threshold with."""
@@ -82,8 +81,8 @@ def shingles(text: str | None, n: int, words: Hashes) -> np.ndarray:
     return np.unique(h)
 
 
-def fingerprint(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(s.tobytes())
+def fingerprint(s: np.ndarray, width: int = 16) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())[:width]
 
 
 def counted(join: Join):
@@ -134,7 +133,7 @@ def ordered(s: np.ndarray, levels: np.ndarray, join: Join) -> np.ndarray:
     return s[np.lexsort((s, rank))]
 
 
-def prefixes(join: Join, levels):
+def prefixes(join: Join, levels, width: int):
     """(g, fp, n, pos) for the prefix of each class, once in each task that meets it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +142,7 @@ def prefixes(join: Join, levels):
             gs, fps, ns, ps = [], [], [], []
             for text in batch["text"].to_pylist():
                 s = shingles(text, join.n, words)
-                if not len(s) or (fp := fingerprint(s)) in seen:
+                if not len(s) or (fp := fingerprint(s, width)) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(fp)
@@ -158,54 +157,90 @@ def prefixes(join: Join, levels):
     return rows
 
 
-def entries(join: Join):
-    """For each live class, a row for each list and tile it is in: (g, i, j, own, fp, n, pos, before)."""
-    names = ["g", "i", "j", "own", "fp", "n", "pos", "before"]
+MEMBER = pa.schema([("g", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("fp", pa.binary()), ("n", pa.int64()), ("pos", pa.int32()), ("before", pa.binary())])
+LINK = pa.schema([("fp", pa.binary()), ("other", pa.binary()), ("links", pa.int64())])
+
+
+PLACE = pa.schema(list(MEMBER)[:-1])
+
+
+def flush(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
+
+
+def places(join: Join):
+    """For each live class, a row for each list and tile it is in: (g, i, j, own, fp, n, pos)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for fp, n, shared in zip(batch["fp"].to_pylist(), batch["n"].to_pylist(), batch["shared"].to_pylist()):
-                shared.sort(key=lambda x: x["pos"])
-                g = np.array([x["g"] for x in shared], np.int64)
+            for fp, n, shared in zip(batch["fp"].to_pylist(), batch["n"].to_pylist(), batch["shared"]):
                 # The first shingle that a pair shares comes early enough for the rest to reach the threshold.
                 last = n - join.need(n)
-                for at, x in enumerate(shared):
-                    if x["pos"] > last:
-                        break
-                    tiles = -(-x["m"] // join.block)
-                    own = int.from_bytes(fp[:4], "little") % tiles
-                    before = g[:at].tobytes()
-                    out += [(x["g"], min(own, t), max(own, t), own, fp, n, x["pos"], before) for t in range(tiles)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()))], names=names)
+                for x in shared.as_py():
+                    if x["pos"] <= last:
+                        tiles = -(-x["m"] // join.block)
+                        own = int.from_bytes(fp[:4], "little") % tiles
+                        out += [(x["g"], min(own, t), max(own, t), own, fp, n, x["pos"]) for t in range(tiles)]
+                if len(out) > 50_000:
+                    yield flush(out, PLACE)
+                    out = []
+            yield flush(out, PLACE)
 
     return rows
 
 
-def incidence(sets: list[np.ndarray], least: int = 2) -> np.ndarray | None:
-    """Members by the values that at least so many of them hold, as float32; None if there are none."""
-    every = np.concatenate(sets)
-    values, at, count = np.unique(every, return_inverse=True, return_counts=True)
-    place = np.full(len(values), -1)
-    common = np.flatnonzero(count >= least)
-    if not len(common):
-        return None
-    place[common] = np.arange(len(common))
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    cols = place[at]
-    out = np.zeros((len(sets), len(common)), np.float32)
-    out[rows[cols >= 0], cols[cols >= 0]] = 1
-    return out
-
-
-def products(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
-    """Overlap sizes of all members' sets: a sparse product, by blocks of columns in which only shared values stand."""
+def fitting(join: Join):
+    """The rows of a tile that have a partner of fitting size and position."""
+
+    def act(key: tuple, rows: list[tuple]) -> list[tuple]:
+        n, pos, own = (np.array([r[c] for r in rows]) for c in (5, 6, 3))
+        ok = candidates(n, pos, [], own, key[1] != key[2], join)
+        return [rows[x] for x in np.flatnonzero(ok.any(0) | ok.any(1))]
+
+    return by_group(PLACE.names, act, PLACE)
+
+
+def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, n, shared, tiles) to MEMBER: a class's rows, each with the shared shingles that come before it."""
+    out: list[tuple] = []
+    held = 0
+    for batch in batches:
+        for fp, n, shared, tiles in zip(batch["fp"].to_pylist(), batch["n"].to_pylist(), batch["shared"], batch["tiles"]):
+            shared = sorted(shared.as_py(), key=lambda x: x["pos"])
+            g = np.array([x["g"] for x in shared], np.int64)
+            at = {x["g"]: k for k, x in enumerate(shared)}
+            for t in tiles.as_py():
+                before = g[: at[t["g"]]].tobytes()
+                out.append((t["g"], t["i"], t["j"], t["own"], fp, n, t["pos"], before))
+                held += len(before) + 100
+            if held > 4 << 20:
+                yield flush(out, MEMBER)
+                out, held = [], 0
+    yield flush(out, MEMBER)
+
+
+def products(sets: list[np.ndarray], width: int = 4096, part: int = 1 << 20) -> np.ndarray:
+    """Overlap sizes of all members' sets: a sparse product, summed over ranges of values of about ``part`` entries, and in
+    these over blocks of ``width`` columns; only values that at least two members hold are columns."""
     total = np.zeros((len(sets), len(sets)), np.float32)
-    bounds = np.linspace(0, 2.0**64, max(1, sum(map(len, sets)) // (8 * width)) + 1)[1:-1].astype(U)
-    cuts = [np.concatenate([[0], np.searchsorted(s, bounds), [len(s)]]) for s in sets]
+    sets = [s.view(U) for s in sets]
+    bounds = np.linspace(0, 2.0**64, sum(map(len, sets)) // part + 2)[1:-1].astype(U)
+    cuts = [np.concatenate([[0], np.searchsorted(s, bounds), [len(s)]]).astype(np.int64) for s in sets]
     for b in range(len(bounds) + 1):
-        x = incidence([s[c[b] : c[b + 1]] for s, c in zip(sets, cuts)]) if len(sets) > 1 else None
-        if x is not None:
+        parts = [s[c[b] : c[b + 1]] for s, c in zip(sets, cuts)]
+        values, at, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        place = np.full(len(values), -1)
+        common = np.flatnonzero(count >= 2)
+        place[common] = np.arange(len(common))
+        rows, cols = np.repeat(np.arange(len(sets)), [len(s) for s in parts]), place[at]
+        rows, cols = rows[cols >= 0], cols[cols >= 0]
+        order = np.argsort(cols, kind="stable")
+        rows, cols = rows[order], cols[order]
+        for first in range(0, len(common), width):
+            low, high = np.searchsorted(cols, [first, first + width])
+            x = np.zeros((len(sets), min(width, len(common) - first)), np.float32)
+            x[rows[low:high], cols[low:high] - first] = 1
             total += x @ x.T
     return total
 
@@ -218,17 +253,14 @@ def candidates(n: np.ndarray, pos: np.ndarray, before: list[np.ndarray], own: np
     ok = (np.minimum(n[:, None], n[None, :]) >= need) & (rest >= need) & np.triu(np.ones((len(n), len(n)), bool), 1)
     if cross:
         ok &= own[:, None] != own[None, :]
-    if ok.any() and any(len(x) for x in before) and (x := incidence(before)) is not None:
-        ok &= (x @ x.T) == 0
+    if ok.any() and any(len(x) for x in before):
+        ok &= products([np.sort(x.view(U)) for x in before]) == 0
     return ok
 
 
 def by_group(names: list[str], act, schema: pa.Schema):
     """Runs ``act(key, rows)`` for each run of rows with the same (g, i, j), in a stream: only one group is held."""
 
-    def flush(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
         for batch in batches:
@@ -238,12 +270,12 @@ def by_group(names: list[str], act, schema: pa.Schema):
                         out += act(key, held)
                     key, held = row[:3], []
                     if len(out) > 2000:
-                        yield flush(out)
+                        yield flush(out, schema)
                         out = []
                 held.append(row)
         if len(held) > 1:
             out += act(key, held)
-        yield flush(out)
+        yield flush(out, schema)
 
     return rows
 
@@ -268,10 +300,6 @@ def pairs_of(key: tuple, rows: list[tuple], join: Join) -> np.ndarray | list[tup
     return found
 
 
-MEMBER = pa.schema([("g", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("fp", pa.binary()), ("n", pa.int64()), ("pos", pa.int32()), ("before", pa.binary())])
-LINK = pa.schema([("fp", pa.binary()), ("other", pa.binary()), ("links", pa.int64())])
-
-
 def met(join: Join):
     """The members of a list that have a pair to check, as they came."""
 
@@ -334,6 +362,12 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
 
 
+def enough(shared: DataFrame, join: Join) -> DataFrame:
+    """(fp, n, shared) of the classes that share enough: at least what the smallest possible partner's prefix was drawn for."""
+    live = shared.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "g", "m")).alias("shared"))
+    return live.filter(F.size("shared") >= F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * join.percent + 99) / 100) / 20)))
+
+
 def classes_and_links(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame]:
     """(documents (doc_id, n, fp), links (fp, other, links)); see ``verified``."""
     spark = docs.sparkSession
@@ -346,35 +380,38 @@ def classes_and_links(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
         levels[r["part"]] = np.frombuffer(r["levels"], np.uint8)
     order = spark.sparkContext.broadcast(levels.ravel())
     # Lists of prefix shingles; a class met by several tasks is there once.
-    lists = map_arrow(texts, prefixes(join, order), "g long, fp binary, n long, pos int").repartition("g").dropDuplicates(["g", "fp"])
-    sizes = lists.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = lists.join(sizes, "g")
-    live = shared.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "g", "m")).alias("shared"))
-    # What is shared with a partner is at least what the smallest possible partner's prefix was drawn for.
-    live = live.filter(F.size("shared") >= F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * join.percent + 99) / 100) / 20)))
-    live = materialize(live, "join-live")
+    # Classes are named by 64 bits of their hash where that tells all of them apart, as it does below a billion or so.
+    names = sets.filter(F.col("fp").isNotNull()).select("fp").distinct().groupBy(F.substring("fp", 1, 8).alias("short")).count().filter("count > 1")
+    width = 8 if names.isEmpty() else 16
+    sets = sets.withColumn("fp", F.substring("fp", 1, width))
+    lists = map_arrow(texts, prefixes(join, order, width), "g long, fp binary, n long, pos int").repartition("g").dropDuplicates(["g", "fp"])
+    shared = lists.withColumn("m", F.count("*").over(Window.partitionBy("g"))).filter("m > 1")
+    # Twice: lists get shorter by the classes that are out, and with them more classes are.
+    for again in (True, False):
+        live = materialize(enough(shared, join), "join-live")
+        if again:
+            rest = live.select("fp", "n", F.inline("shared")).select("g", "fp", "n", "pos")
+            shared = rest.withColumn("m", F.count("*").over(Window.partitionBy("g"))).filter("m > 1")
     fields = "g long, i int, j int, own int, fp binary, n long, pos int, before binary"
     together = ["g", "i", "j", "fp"]
-    tiles = map_arrow(live, entries(join), fields).repartition("g", "i", "j").sortWithinPartitions(*together)
-    pairs = materialize(tiles.mapInArrow(met(join), fields), "join-pairs")
+    light = map_arrow(live, places(join), "g long, i int, j int, own int, fp binary, n long, pos int").repartition("g", "i", "j").sortWithinPartitions(*together)
+    fits = light.mapInArrow(fitting(join), "g long, i int, j int, own int, fp binary, n long, pos int")
+    tiles = materialize(fits.groupBy("fp").agg(F.collect_list(F.struct("g", "i", "j", "own", "pos")).alias("tiles")), "join-tiles")
+    full_rows = map_arrow(live.join(tiles, "fp").select("fp", "n", "shared", "tiles"), entries, fields).repartition("g", "i", "j").sortWithinPartitions(*together)
+    pairs = materialize(full_rows.mapInArrow(met(join), fields), "join-pairs")
     # Full sets, only of the classes that are in a pair: their documents are picked by a filter of fixed size first.
     in_pair = pairs.select("fp").distinct()
     of_class = sets.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     wanted = materialize(in_pair.join(of_class, "fp"), "join-wanted")
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(64 * join.bloom))
-    words = wanted.groupBy(F.floor(spot / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {64 * join.bloom}) % 64 AS INT))")).alias("bits")).collect()
-    bloom = np.zeros(join.bloom, np.int64)
-    bloom[[r["w"] for r in words]] = [r["bits"] for r in words]
-    bits = spark.sparkContext.broadcast(np.unpackbits(bloom.view(np.uint8), bitorder="little"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, there = Hashes(), bits.value
+        hashes = Hashes()
         for batch in batches:
-            batch = batch.filter(pa.array(there[batch["spot"].to_numpy()].astype(bool)))
             found = [shingles(t, join.n, hashes) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([fingerprint(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "fp", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([fingerprint(s, width) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "fp", "hashes"])
 
-    whole = map_arrow(texts.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", spot.alias("spot")), full, "doc_id long, fp binary, hashes binary")
+    picked = with_maybe(texts, wanted, "maybe").filter("maybe").select("doc_id", "text")
+    whole = map_arrow(picked, full, "doc_id long, fp binary, hashes binary")
     whole = whole.join(wanted, ["fp", "doc_id"]).dropDuplicates(["fp"]).select("fp", "copies", "hashes")
     blocks = pairs.join(whole, "fp").repartition("g", "i", "j").sortWithinPartitions(*together)
     links = blocks.mapInArrow(verified(join), "fp binary, other binary, links long")
@@ -386,11 +423,12 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     sets, links = classes_and_links(docs, join)
     labels = components(links.filter(F.col("other").isNotNull()).select(F.col("fp").alias("a"), F.col("other").alias("b")))
     near = links.filter(F.col("other").isNull()).groupBy("fp").agg(F.sum("links").alias("near"))
-    # By class, so that a class with very many copies is one row in the joins.
+    # By class, so that a class with very many copies is one row in the joins; classes of one document without links need none.
     classes = sets.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
-    classes = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").join(near, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = materialize(classes.join(near, "fp", "left").filter((F.col("copies") > 1) | F.col("near").isNotNull()), "join-some")
+    classes = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = materialize(classes.join(lows, "root").filter((F.col("copies") > 1) | F.col("near").isNotNull()).select("fp", "component_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "join-classes")
+    classes = materialize(classes.join(lows, "root").select("fp", "component_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "join-classes")
     alone = F.coalesce("component_id", "doc_id")
     return (
         sets.join(classes, "fp", "left")
@@ -401,8 +439,8 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
 def representatives(docs: DataFrame, join: Join = Join(n=5, percent=80)) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id (one row of it, if it is repeated)."""
     found = linked(docs, join)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = materialize(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "join-gone")
+    return without(docs, gone)
 
 
 SQL = r"""

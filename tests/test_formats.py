@@ -97,10 +97,6 @@ def lzo():
     return head + be(zlib.adler32(head[9:])) + be(4) + be(4) + be(zlib.adler32(b"abcd")) + b"abcd" + be(0)
 
 
-def par(n):
-    return n
-
-
 MADE = {
     "zip": zipped(), "tar": tarred(), "gzip": gzip.compress(RAW) + gzip.compress(b"more"), "bzip2": bz2.compress(RAW), "xz": lzma.compress(RAW) + b"\0" * 8, "lzma": lzma.compress(RAW, format=lzma.FORMAT_ALONE),
     "zstd": zstandard.compress(RAW), "cpio_portable_ascii": cpio(), "cpio_portable_ascii_crc": cpio(b"070702"), "ar": ar(), "romfs": romfs(), "sevenzip": sevenzip(), "cramfs": cramfs(), "btrfs_stream": btrfs(), "lzo": lzo(),
@@ -116,6 +112,7 @@ MADE = {
     "macho": pad({0: b"\xca\xfe\xba\xbe", 4: be(1), 16: be(100), 20: be(60)}, 160), "elf64": pad({0: b"\x7fELF\2\1\1", 16: le(2, 2), 18: le(62, 2), 20: le(1), 32: le(64, 8), 40: le(0, 8), 54: le(56, 2), 56: le(1, 2), 64: le(1), 72: le(0, 8), 96: le(400, 8)}, 400),
     "uzip": b"#L3.0\n" + pad({122: be(512) + be(1), 130: be(152, 8) + be(200, 8)}, 194), "bdl": pad({0: b"ibdl\1\0\1\0", 8: le(1321), 16: le(1), 1321: le(1337, 8) + le(20, 8)}, 1357), "fpkg": pad({0: b"CPKG\1\0\0\0", 8: be(12), 12: be(28), 20: be(10), 24: b"name"}, 50),
     "airoha": pad({240: b"\xff" * 16 + b"\x11\0\x0a\0\0\0", 262: le(300) + le(20)}, 320), "qnap_nas": b"\xf5\x7b\x47\x03" + b"e" * 60 + pad({0: b"icpnas", 6: le(60), 10: b"TS-1", 26: b"4.0"}, 74), "engenius": pad({32: be(180), 92: b"\x12\x34\x56xall"}, 180),
+    "alpha_encimg_v2": pad({0: b"wapnd", 32: b"\x21\x03\x08\x20\x21\x03\x08\x20", 104: le(32)}, 160) + bytes(range(32, 64)),
 }
 START_ONLY = {"zlib", "xalz"}
 
@@ -170,4 +167,4 @@ def test_random_bytes_raise_nothing():
 
 
 def test_registry():
-    assert len(FORMATS) >= 91 and len({f.name for f in FORMATS}) == len(FORMATS) - 1  # tar is there twice
+    assert len(FORMATS) >= 92 and len({f.name for f in FORMATS}) == len(FORMATS) - 1  # tar is there twice

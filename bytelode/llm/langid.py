@@ -100,17 +100,16 @@ def phrases(pieces: list[np.ndarray], table: np.ndarray) -> np.ndarray:
         lanes[: len(p), i] = p
     flat, width = table.ravel(), table.shape[1]
     start = table[0]
-    count, state = np.ones(len(pieces), np.int32), np.zeros(len(pieces), np.int32)
+    count, state = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int32)
     # How many pieces are longer than t.
     alive = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
     for t, n in enumerate(alive):
-        c = lanes[t, :n]
-        to = flat[state[:n] * width + c]
+        c, at = lanes[t, :n], state[:n]
+        to = flat[at * width + c]
+        # A phrase begins at the start, after a symbol that the language lacks, and where there is no step.
         ends = np.flatnonzero(to < 0)
-        if len(ends):
-            # A new phrase begins with this symbol; one that the language lacks is a phrase of its own.
-            count[ends] += 1
-            to[ends] = np.maximum(start[c[ends]], 0)
+        count[:n] += (to < 0) | (at == 0)
+        to[ends] = np.maximum(start[c[ends]], 0)
         state[:n] = to
     return count
 

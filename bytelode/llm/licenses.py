@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Lines with words of licenses, and runs of such lines, are candidate blocks.  Each is compressed by zstandard alone and with
-each template as a raw dictionary; templates are ranked by how much smaller the block gets.  The best few are confirmed by
+Lines with words of licenses, and runs of such lines, are candidate blocks.  Each is compressed, lower-cased, by zstandard alone and
+with each template as a raw dictionary; templates are ranked by how much smaller the block gets.  The best few are confirmed by
 an exact comparison of wordings: the template's words must stand in the block in order but for a small share, and its
 telling words (names, numbers, versions) must all be there, without another one in their place.
 
@@ -70,7 +70,7 @@ def telling(found: list[str]) -> list[str]:
 
 @lru_cache(maxsize=1)
 def dictionaries() -> list[tuple[str, list[str], zstandard.ZstdCompressor]]:
-    return [(name, words(t), zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, t in TEMPLATES]
+    return [(name, words(t), zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, t in TEMPLATES]
 
 
 def blocks(text: str, most: int = 64) -> Iterator[tuple[int, int]]:
@@ -117,7 +117,7 @@ def scan_text(text: str | None, best: int = 6, slack: float = 0.25, window: int
     for start, end in blocks(text):
         for at in range(start, max(start + 1, end - window // 2), window // 2):
             part = text[at : min(end, at + window)]
-            raw = part.encode("utf-8", "surrogatepass")
+            raw = part.lower().encode("utf-8", "surrogatepass")
             alone = len(plain.compress(raw))
             ranked = sorted(((alone - len(z.compress(raw)), name, t) for name, t, z in dictionaries()), key=lambda x: (-x[0], x[1], x[2]))
             own = words(part)

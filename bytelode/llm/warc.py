@@ -63,7 +63,7 @@ def record(page: int | None, url: str | None, html: str | None, refers: int | No
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers)}"] if revisit else []),
         f"WARC-Payload-Digest: sha1:{sha1(payload)}", f"WARC-Block-Digest: sha1:{sha1(block)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
-    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def info(name: str) -> bytes:
@@ -133,7 +133,10 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
         name, colon, value = line.partition(b":")
         if not colon:
             return "header line"
-        fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        try:
+            fields[name.decode("utf-8").strip().lower()] = value.decode("utf-8").strip()
+        except UnicodeDecodeError:
+            return "header not UTF-8"
     length = fields.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         return "content length"

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from bytelode.formats import FORMATS
-from bytelode.functions import paths
+from bytelode.functions import codecs, paths
 
 ENTRIES = "parent_id string, handler string, path string, type string, mode int, size long, link_target string, content binary, problem string, resolution string, severity string"
 NAMES = [x.split()[0] for x in ENTRIES.split(", ")]
@@ -330,6 +330,125 @@ def deafbead(data: bytes) -> Iterator[Entry]:
             at += 4 + size
 
 
+#: Keys of vendors' ciphers, as published for these devices.
+ENCRPTED_KEY, ENCRPTED_IV = b"he9-4+M!)d6=m~we1,q2a3d1n&2*Z^%8", b"J%1iQl8$=lm-;8AE"
+SHRS_KEY = bytes.fromhex("c05fbf1936c99429ce2a0781f08d6ad8")
+ENGENIUS_KEY = b"\xac\x78\x3c\x9e\xcf\x67\xb3\x59"
+
+
+@extractor("encrpted_img")
+def encrpted_img(data: bytes) -> Iterator[Entry]:
+    yield Entry("encrpted_img.decrypted", content=codecs.aes_cbc_decrypt(data[16 : 16 + (len(data) - 16) // 16 * 16], ENCRPTED_KEY, ENCRPTED_IV))
+
+
+@extractor("shrs")
+def shrs(data: bytes) -> Iterator[Entry]:
+    whole = struct.unpack_from(">I", data, 8)[0]
+    yield Entry("shrs.decrypted", content=codecs.aes_cbc_decrypt(data[1756 : 1756 + (len(data) - 1756) // 16 * 16], SHRS_KEY, data[12:28])[: whole or None])
+
+
+@extractor("engenius")
+def engenius(data: bytes) -> Iterator[Entry]:
+    start = 136 + struct.unpack_from(">I", data, 132)[0]
+    phase = start - max(data.find(ENGENIUS_KEY), 0)
+    key = (ENGENIUS_KEY * ((len(data) - start) // 8 + 2))[phase % 8 :][: len(data) - start]
+    yield Entry("engenius.decrypted", content=bytes(a ^ b for a, b in zip(data[start:], key)))
+
+
+@extractor("instar_hd")
+def instar_hd(data: bytes) -> Iterator[Entry]:
+    for theirs, usual in ((b"PK\x03\x07", b"PK\x03\x04"), (b"PK\x05\x09", b"PK\x05\x06"), (b"PK\x01\x08", b"PK\x01\x02")):
+        data = data.replace(theirs, usual)
+    yield Entry("instar_hd.deobfuscated", content=data)
+
+
+@extractor("xalz")
+def xalz(data: bytes) -> Iterator[Entry]:
+    size = struct.unpack_from("<I", data, 8)[0]
+    yield Entry("xalz.uncompressed", content=codecs.lz4_block(data[12:], size))
+
+
+@extractor("minifs")
+def minifs(data: bytes) -> Iterator[Entry]:
+    files, _, names = struct.unpack_from(">III", data, 20)
+    table = 32 + names
+    rows = [struct.unpack_from(">5I", data, table + 20 * i) for i in range(files)]
+    entries = table + 20 * files
+    chunks = max(r[2] for r in rows) + 1
+    start = entries + 12 * chunks
+    text = lambda at: data[32 + at :].split(b"\0", 1)[0].decode("utf-8", "replace")
+    now, opened = -1, b""
+    # Files of one chunk together, so that each is opened once.
+    for path, name, chunk, offset, size in sorted(rows, key=lambda r: (r[2], r[3])):
+        if chunk != now:
+            at, packed, whole = struct.unpack_from(">3I", data, entries + 12 * chunk)
+            opened, now = lzma.LZMADecompressor(lzma.FORMAT_ALONE).decompress(data[start + at : start + at + packed], whole), chunk
+        yield Entry(posixpath.join(text(path), text(name)), content=opened[offset : offset + size])
+
+
+@extractor("minix_fs_v1", "minix_fs_v2", "minix_fs_v3")
+def minix(data: bytes) -> Iterator[Entry]:
+    third = data[0x418:0x41A] in (b"\x5a\x4d", b"\x4d\x5a")
+    mark = data[0x418:0x41A] if third else data[0x410:0x412]
+    order = ">" if mark in (b"\x4d\x5a", b"\x13\x7f", b"\x13\x8f", b"\x24\x68", b"\x24\x78") else "<"
+    number = lambda kind, at: struct.unpack_from(order + kind, data, at)[0]
+    old = not third and mark in (b"\x7f\x13", b"\x8f\x13", b"\x13\x7f", b"\x13\x8f")
+    block = number("H", 0x400 + 28) if third else 1024
+    imap, zmap = (number("H", 0x406), number("H", 0x408)) if third else (number("H", 0x404), number("H", 0x406))
+    log = number("H", 0x40C) if third else number("H", 0x40A)
+    inodes, width = (2 + imap + zmap) * block, 32 if old else 64
+    name_size, zone_kind, zone_width = (60, "I", 4) if third else (30 if mark in (b"\x8f\x13", b"\x13\x8f", b"\x78\x24", b"\x24\x78") else 14, "H" if old else "I", 2 if old else 4)
+
+    def zones(at: int, levels: int, left: int) -> Iterator[bytes]:
+        piece = data[at * block << log : (at * block << log) + (block << log)]
+        if not levels:
+            yield piece
+            return
+        for i in range(min(left, (block << log) // zone_width)):
+            inner = struct.unpack_from(order + zone_kind, piece, zone_width * i)[0]
+            if not inner:
+                return
+            yield from zones(inner, levels - 1, left)
+
+    def content(inode: int) -> tuple[int, bytes]:
+        at = inodes + (inode - 1) * width
+        mode, size = number("H", at), number("I", at + (4 if old else 8))
+        first = at + (14 if old else 24)
+        out = b""
+        for i in range(9 if old else 10):
+            zone = number(zone_kind, first + zone_width * i)
+            if not zone or len(out) >= size:
+                break
+            for piece in zones(zone, max(0, i - 6), size // block + 1):
+                out += piece
+                if len(out) >= size:
+                    break
+        return mode, out[:size]
+
+    def walk(inode: int, folder: str, seen: frozenset[int]) -> Iterator[Entry]:
+        _, listing = content(inode)
+        step = name_size + (4 if third else 2)
+        for i in range(0, len(listing) - step + 1, step):
+            child = struct.unpack_from(order + ("I" if third else "H"), listing, i)[0]
+            name = listing[i + step - name_size : i + step].split(b"\0", 1)[0].decode("utf-8", "replace")
+            if not child or name in (".", ".."):
+                continue
+            mode, body = content(child)
+            kind, path = mode >> 12, folder + name
+            if kind == 4:
+                yield Entry(path, "dir", mode=mode & 0o7777)
+                if child not in seen:
+                    yield from walk(child, path + "/", seen | {child})
+            elif kind == 8:
+                yield Entry(path, content=body, mode=mode & 0o7777)
+            elif kind == 10:
+                yield Entry(path, "link", link_target=body.decode("utf-8", "replace"))
+            else:
+                yield Entry(path, "special", problem="a special file", resolution="Skipped.", severity="WARNING")
+
+    yield from walk(1, "", frozenset({1}))
+
+
 def checked(entry: Entry, seen: set[str]) -> Entry:
     """The entry with a safe path and link target, or its problem and what was done about it."""
     if not entry.path:

@@ -1,6 +1,6 @@
 """Known formats; ``FORMATS`` lists them in the order in which equal hits are tried."""
 
-from bytelode.formats import archive, compression, executable, filesystem  # noqa: F401
+from bytelode.formats import alpha, archive, compression, executable, filesystem  # noqa: F401
 from bytelode.formats.base import REGISTRY, Format, Invalid, Reader, Span
 
 FORMATS: tuple[Format, ...] = tuple(REGISTRY)

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import zlib
-from collections import Counter
 
 from bytelode.formats.base import Invalid, Reader, Span, fmt, need, up
 
@@ -73,21 +71,6 @@ def shrs(r: Reader) -> int:
     return 1756 + size
 
 
-#: First bytes of payloads that are not encrypted: compressed data, device trees, boot images.
-PLAIN = (b"\x5d\x00\x00\x80", b"\xd0\x0d\xfe\xed", b"\x10\xec\x7a\x0d")
-
-
-@fmt("alpha_encimg_v2", ARCHIVE, "77 61 70 [29] 21 03 08 20 21 03 08 20", note="Payloads are carved, not decrypted.")
-def alpha_encimg_v2(r: Reader) -> int:
-    # Either byte order occurs, and nothing tells which but that images are small.
-    size = min(r.int(104, 4, False), r.int(104, 4, True))
-    need(size and size % 16 == 0)
-    head = r.raw(160, 16)
-    bits = -sum(n / 16 * math.log2(n / 16) for n in Counter(head).values())
-    need(not head.startswith(PLAIN) and bits >= 3 and r.base + 160 + size <= len(r.data))
-    return 160 + size
-
-
 @fmt("fpkg", ARCHIVE, "(43 | 46) 50 4B 47 01 00 00 00")
 def fpkg(r: Reader) -> int:
     r = r.be()

@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from bytelode.formats import FORMATS
+from bytelode.formats import FORMATS, alpha
 from bytelode.functions import codecs, paths
 
 ENTRIES = "parent_id string, handler string, path string, type string, mode int, size long, link_target string, content binary, problem string, resolution string, severity string"
@@ -341,6 +341,11 @@ def encrpted_img(data: bytes) -> Iterator[Entry]:
     yield Entry("encrpted_img.decrypted", content=codecs.aes_cbc_decrypt(data[16 : 16 + (len(data) - 16) // 16 * 16], ENCRPTED_KEY, ENCRPTED_IV))
 
 
+@extractor("alpha_encimg_v1", "alpha_encimg_v2")
+def alpha_encimg(data: bytes) -> Iterator[Entry]:
+    yield Entry("alpha_encimg.decrypted", content=alpha.decrypted(data))
+
+
 @extractor("shrs")
 def shrs(data: bytes) -> Iterator[Entry]:
     whole = struct.unpack_from(">I", data, 8)[0]

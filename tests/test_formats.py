@@ -14,7 +14,8 @@ import zlib
 import pytest
 import zstandard
 
-from bytelode.formats import FORMATS
+from bytelode.formats import FORMATS, alpha
+from bytelode.functions.codecs import aes_cbc_decrypt
 from bytelode.operators.scan import scanner
 
 RAW = random.Random(5).randbytes(3000) + b"abc" * 2000
@@ -167,4 +168,10 @@ def test_random_bytes_raise_nothing():
 
 
 def test_registry():
-    assert len(FORMATS) >= 92 and len({f.name for f in FORMATS}) == len(FORMATS) - 1  # tar is there twice
+    assert len(FORMATS) >= 93 and len({f.name for f in FORMATS}) == len(FORMATS) - 1  # tar is there twice
+
+
+def test_devices_keys_open_their_headers():
+    for head, device, key, start in alpha.DEVICES:
+        plain = aes_cbc_decrypt(bytes.fromhex(head), alpha.masked(device, key), alpha.masked(device, start))
+        assert plain[:4] == be(alpha.MAGIC) and plain[12:] == b"sign" and 36 <= int.from_bytes(plain[4:8], "big") <= 44

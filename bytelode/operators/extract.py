@@ -281,6 +281,8 @@ TABLES: dict[str, Callable[[bytes], list[tuple[str, int, int]]]] = {
     "sbfh": lambda d: carved(("firmware", struct.unpack_from("<I", d, 4)[0], len(d))),
     "macho": lambda d: [(f"slice-{i}", *(lambda o, s: (o, o + s))(*struct.unpack_from(">II", d, 16 + 20 * i))) for i in range(struct.unpack_from(">I", d, 4)[0])] if d[:4] == b"\xca\xfe\xba\xbe" else [],
     "fpkg": lambda d: walked(d),
+    "hdr1": lambda d: blobs(d, 16),
+    "hdr2": lambda d: blobs(d, 48),
 }
 
 
@@ -304,6 +306,20 @@ def walked(data: bytes) -> list[tuple[str, int, int]]:
     return out
 
 
+def blobs(data: bytes, at: int) -> list[tuple[str, int, int]]:
+    """Blobs by up to eight offsets: each has a header of 48 bytes with its size and name."""
+    out = []
+    for start in struct.unpack_from("<8I", data, at):
+        if not start:
+            break
+        mark, _, size = struct.unpack_from("<III", data, start)
+        if mark != 0xBABE or not size:
+            break
+        name = data[start + 16 : start + 48].split(b"\0", 1)[0].decode("utf-8")
+        out.append((name or f"blob-{len(out)}", start + 48, start + 48 + size))
+    return out
+
+
 def by_table(name: str) -> Extractor:
     def entries(data: bytes) -> Iterator[Entry]:
         for path, start, end in TABLES[name](data):

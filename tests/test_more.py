@@ -91,3 +91,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert kinds == {"StatReport", "ChunkReport", "UnknownChunkReport"}
     assert [p.read_bytes() for p in (tmp_path / "out").rglob("a.txt")] == [b"hello " * 50]
     assert main(["--show-external-dependencies"], spark) == 0 and "7z" in capsys.readouterr().out
+
+
+def test_blobs():
+    blob = struct.pack("<III", 0xBABE, 0, 5) + bytes(4) + b"name.bin".ljust(32, b"\0") + b"12345"
+    data = pad({0: b"HDR1", 16: struct.pack("<8I", 64, 200, *[0] * 6), 64: blob, 200: blob.replace(b"name", b"more")}, 300)
+    assert [(e.path, e.content) for e in extract.unpack(data, "hdr1")] == [("name.bin", b"12345"), ("more.bin", b"12345")]

@@ -187,9 +187,10 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     texts = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("mark"))
     texts = texts.withColumn("copy", F.row_number().over(same.orderBy(F.col("source").asc_nulls_last())))
     words = F.coalesce(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.array().cast("array<string>"))
-    cut = F.flatten(F.transform("parts", lambda p: F.slice("words", (p["skip"] + 1).cast("int"), p["length"].cast("int"))))
+    # The words are a lambda's variable, so that they are found once for a text and not for each of its pieces.
+    cut = lambda w: F.flatten(F.transform("parts", lambda p: F.slice(w, (p["skip"] + 1).cast("int"), p["length"].cast("int"))))
+    taken = F.element_at(F.transform(F.array(words), lambda w: F.array_join(cut(w), " ")), 1)
     return (
         texts.join(picked, texts["doc_id"].eqNullSafe(picked["id"]) & (texts["mark"] == picked["mark"]) & (texts["copy"] == picked["copy"]))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", words.alias("words"), "parts")
-        .select("doc_id", "source", "size", "source_size", "target", "taken", F.array_join(cut, " ").alias("text"), F.transform("parts", lambda p: F.struct(p["shard"], p["turn"])).alias("slots"))
+        .select("doc_id", "source", "size", "source_size", "target", "taken", taken.alias("text"), F.transform("parts", lambda p: F.struct(p["shard"], p["turn"])).alias("slots"))
     )

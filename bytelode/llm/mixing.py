@@ -104,7 +104,8 @@ def draw(spark, sources: DataFrame, mix: Mix) -> DataFrame:
     counts = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n"))
     counts = materialize(counts.withColumn("first", F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")), "mix-counts")
     turns = (
-        counts.join(sources.select("sid", "quota"), "sid")
+        # A few rows stand for many slots: deal them out before they are unfolded.
+        counts.join(sources.select("sid", "quota"), "sid").repartition(max(1, total // 200_000), "shard", "sid")
         .select("shard", "sid", "quota", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("turn"))
     )
     # What was drawn beyond a quota is numbered through all sources and handed to those that fell short.

@@ -48,6 +48,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to be added: those wanted, with so many underscores before them that the table has none of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 #: Words of 64 bits of the filters below; a filter is a table of at most so many rows, whatever it is made of.
 FILTER_WORDS = 1 << 16
 
@@ -58,17 +69,19 @@ def with_maybe(rows: DataFrame, ids: DataFrame, name: str, key: str = "doc_id")
     Serves to leave most rows out of a shuffle; what is true needs an exact join yet.
     """
     spot = f"pmod(xxhash64({key}), {64 * FILTER_WORDS})"
-    bits = ids.groupBy(F.expr(f"{spot} div 64").alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({spot} % 64 AS INT))")).alias("_bits"))
+    word, bit = free(rows, "_word", "_bits")
+    bits = ids.groupBy(F.expr(f"{spot} div 64").alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({spot} % 64 AS INT))")).alias(bit))
     # At most FILTER_WORDS rows of 16 bytes.
-    found = rows.join(F.broadcast(bits), F.expr(f"{spot} div 64") == F.col("_word"), "left")
-    return found.withColumn(name, F.expr(f"coalesce(shiftrightunsigned(_bits, CAST({spot} % 64 AS INT)) & 1, 0) = 1")).drop("_word", "_bits")
+    found = rows.join(F.broadcast(bits), F.expr(f"{spot} div 64") == F.col(word), "left")
+    return found.withColumn(name, F.expr(f"coalesce(shiftrightunsigned({bit}, CAST({spot} % 64 AS INT)) & 1, 0) = 1")).drop(word, bit)
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """``rows`` whose key is not among ``ids``; only those that may be are shuffled."""
-    marked = with_maybe(rows, ids, "_maybe", key)
-    sure = marked.filter(~F.col("_maybe")).drop("_maybe")
-    return sure.unionByName(marked.filter("_maybe").drop("_maybe").join(ids, key, "left_anti"))
+    (maybe,) = free(rows, "_maybe")
+    marked = with_maybe(rows, ids, maybe, key)
+    sure = marked.filter(~F.col(maybe)).drop(maybe)
+    return sure.unionByName(marked.filter(F.col(maybe)).drop(maybe).join(ids, key, "left_anti").select(*rows.columns))
 
 
 def arrow_batches(spark: SparkSession, records: int = 2048) -> None:

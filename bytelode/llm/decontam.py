@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytelode.llm.common import WORD, map_arrow
+from bytelode.llm.common import WORD, free, map_arrow
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -169,13 +169,13 @@ FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Stru
 ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([(n, pa.int64()) for n in ("item_start", "doc_start", "words")])))]))
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, cover: float = 0.5, part: int = PART) -> DataFrame:
-    """``docs`` with ``_leaks``: the leaked items of each document."""
+def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, cover: float = 0.5, part: int = PART, name: str = "_leaks") -> DataFrame:
+    """``docs`` with the leaked items of each document, in a last column of that name."""
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
     total = benchmark.agg(F.sum(words)).first()[0] or 0
     parts = -(-total // part) if total else 1
-    out = docs.withColumn("_leaks", F.lit(None).cast(FOUND))
+    out = docs.withColumn(name, F.lit(None).cast(FOUND))
     at = docs.columns.index("text")
 
     def adder(shared):
@@ -203,4 +203,5 @@ def report(docs: DataFrame, benchmark: DataFrame, least: int = 5, cover: float =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, cover: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
-    return with_leaks(docs, benchmark, least, cover).filter(F.size("_leaks") == 0).select(*docs.columns)
+    (name,) = free(docs, "_leaks")
+    return with_leaks(docs, benchmark, least, cover, name=name).filter(F.size(name) == 0).select(*docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import map_arrow, materialize
+from bytelode.llm.common import free, map_arrow, materialize
 
 SPACE = " \t\n\v\f\r"
 FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -106,8 +106,10 @@ def keep_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    bits = bitmaps.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("keep").alias("_keep"))
-    return docs.join(bits, docs["doc_id"].eqNullSafe(bits["_id"]) & (F.xxhash64(docs["text"]) == bits["_mark"]), "left").drop("_id", "_mark")
+    """``docs`` with each document's bitmap, or null, as the last column."""
+    ids, mark, keep = free(docs, "_id", "_mark", "_keep")
+    bits = bitmaps.select(F.col("doc_id").alias(ids), F.col("mark").alias(mark), F.col("keep").alias(keep))
+    return docs.join(bits, docs["doc_id"].eqNullSafe(bits[ids]) & (F.xxhash64(docs["text"]) == bits[mark]), "left").select(*docs.columns, keep)
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
@@ -125,7 +127,7 @@ def dedup_texts(docs: DataFrame, least: int = 10) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if k is None else kept_lines(t, k)[0] for t, k in zip(batch["text"].to_pylist(), batch["_keep"].to_pylist())]
+            texts = [t if k is None else kept_lines(t, k)[0] for t, k in zip(batch["text"].to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
             columns = [pa.array(texts, pa.string()) if i == at else batch[i] for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
@@ -137,7 +139,7 @@ def digest(docs: DataFrame, least: int = 10) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines, dropped = zip(*(kept_lines(t, k) for t, k in zip(batch["text"].to_pylist(), batch["_keep"].to_pylist()))) if batch.num_rows else ((), (), ())
+            texts, lines, dropped = zip(*(kept_lines(t, k) for t, k in zip(batch["text"].to_pylist(), batch.column(batch.num_columns - 1).to_pylist()))) if batch.num_rows else ((), (), ())
             hashes = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(hashes, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 

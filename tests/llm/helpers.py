@@ -16,7 +16,7 @@ def odd(spark):
     long_text = " ".join(f"word{i % 977} and" for i in range(30_000))
     rows = [(1, "the quick brown fox jumps over the lazy dog", "en", "a"), (1, "the quick brown fox jumps over the lazy dog", "en", "a"), (2, "", "en", None), (3, None, None, "b"), (None, "some text of no id at all", "en", "b"), (4, " \t\n ", "de", "b"), (5, long_text, "en", "a"), (6, "12345 é\U0001f600 !!", "fr", "c")]
     df = docs(spark, rows)
-    for name in ("score", "size", "n", "fp", "g", "mark", "keep", "h", "pos", "label", "taken", "sid", "block", "_maybe", "n_lines"):
+    for name in ("score", "size", "n", "fp", "g", "mark", "keep", "h", "pos", "label", "taken", "sid", "block", "_maybe", "_word", "_bits", "_leaks", "_score", "_predicted", "_keep", "_id", "_mark", "n_lines", "quota", "words", "parts", "slots", "turn"):
         df = df.withColumn(name, df["doc_id"])
     return df
 

@@ -6,6 +6,9 @@ safe for bytes beyond ASCII.
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,3 +83,47 @@ def signature(content: Column, table: dict[str, str], default: str = "data") ->
         test = head.startswith(prefix.upper())
         out = F.when(test, name) if out is None else out.when(test, name)
     return out.otherwise(default)
+
+
+def decode_int(text: Column, base: int) -> Column:
+    """The number that a text of digits (with blanks or NULs around it) stands for in a base from 2 to 16; null for other texts."""
+    digits = "0123456789abcdef"[:base]
+    bare = F.lower(F.regexp_replace(text, "^[\\x00\\s]+|[\\x00\\s]+$", ""))
+    return F.when(bare.rlike(f"^[{digits}]+$"), F.conv(bare, base, 10).cast("bigint"))
+
+
+def bits(value: Column, width: int = 8) -> Column:
+    """The bits of an integer, the lowest first."""
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.call_function("shiftright", value.cast("bigint"), i).bitwiseAND(F.lit(1)).cast("int"))
+
+
+def endian(content: Column, big: bytes, little: bytes, at: int = 0) -> Column:
+    """``big`` or ``little`` by the bytes at an offset; null for neither."""
+    own = F.hex(F.substring(content, at + 1, len(big)))
+    return F.when(own == big.hex().upper(), "big").when(own == little.hex().upper(), "little")
+
+
+def run_length(content: Column, at: int, values: bytes = b"\x00\xff") -> Column:
+    """How many bytes from an offset on are among these."""
+    chosen = "".join(f"\\x{v:02x}" for v in values)
+    return F.length(F.regexp_extract(F.substring(latin1(content), at + 1, 1 << 30), f"(?s)^[{chosen}]*", 0))
+
+
+@F.pandas_udf("bigint")
+def adler32(content: pd.Series) -> pd.Series:
+    return content.map(lambda x: None if x is None else zlib.adler32(x)).astype("Int64")
+
+
+@F.pandas_udf("bigint")
+def leb128(content: pd.Series) -> pd.Series:
+    """The number in groups of 7 bits, the lowest first, that the content starts with; null if it has no end or over 63 bits."""
+
+    def decode(x: bytes | None) -> int | None:
+        out = 0
+        for i, byte in enumerate((x or b"")[:9]):
+            out |= (byte & 0x7F) << 7 * i
+            if not byte & 0x80:
+                return out
+        return None
+
+    return content.map(decode).astype("Int64")

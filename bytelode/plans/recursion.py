@@ -7,6 +7,7 @@ next begins, so that lineage stays short; the driver holds the level's number an
 
 from __future__ import annotations
 
+import logging
 import uuid
 from dataclasses import dataclass, field
 
@@ -18,6 +19,9 @@ from bytelode.operators import extract, intervals, measures, scan
 from bytelode.sources import files as source
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Config:
     """What an analysis does: see the command line of the same names in the README."""
@@ -83,6 +87,8 @@ def analyse(files: DataFrame, folder: str, config: Config = Config()) -> Analysi
     current = files.select(F.col("file_id").cast("string").alias("file_id"), "path", "length", "content", F.lit("").alias("blob_id"))
     for depth in range(config.max_depth + 1):
         current = stored(current, folder, "tasks", depth)
+        if log.isEnabledFor(logging.INFO):
+            log.info("depth %d: %d files", depth, current.select("file_id").count())
         made = level(current.drop("blob_id"), depth, config, folder)
         made["tasks"] = current.select("file_id", "path", "length", "blob_id")
         for name, df in made.items():

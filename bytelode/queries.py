@@ -399,6 +399,29 @@ def single_byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", b.single_byte(b.blob(F.col("text"))).alias("padding"))
 
 
+@query("""SELECT p_partkey, ('0x' || substr(md5(p_name), 1, 6))::BIGINT AS number, CASE WHEN p_name ~ '^[0-7]+$' THEN 1 END AS octal, p_size & 1 AS b0, (p_size >> 3) & 1 AS b3 FROM part""")
+def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = b.bits(F.col("p_size"))
+    return read(spark, sf_dir, "part").select("p_partkey", b.decode_int(F.concat(F.substring(F.md5("p_name"), 1, 6), F.lit("\0 ")), 16).alias("number"), F.when(b.decode_int(F.col("p_name"), 8).isNotNull(), 1).alias("octal"), bits[0].alias("b0"), bits[3].alias("b3"))
+
+
+@query("SELECT o_orderkey, o_orderkey AS value, CASE WHEN o_orderkey % 2 = 0 THEN 'big' ELSE 'little' END AS endian, (o_orderkey % 4 + 2)::INTEGER AS run FROM orders")
+def varint_and_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers written in groups of 7 bits and read back; byte orders by a mark; runs of padding."""
+    key = F.col("o_orderkey")
+    group = lambda i: F.lpad(F.hex(F.call_function("shiftright", key, F.lit(7 * i)).bitwiseAND(F.lit(127)) + F.when(F.call_function("shiftright", key, F.lit(7 * i + 7)) > 0, 128).otherwise(0)), 2, "0")
+    packed = F.unhex(F.concat(*[group(i) for i in range(5)]))
+    mark = F.unhex(F.when(key % 2 == 0, "CAFEBABE").otherwise("BEBAFECA"))
+    padding = F.unhex(F.concat(F.lit("AA00"), F.repeat(F.lit("FF"), (key % 4 + 1).cast("int")), F.lit("AA")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", b.leb128(packed).alias("value"), b.endian(mark, b"\xca\xfe\xba\xbe", b"\xbe\xba\xfe\xca").alias("endian"), b.run_length(padding, 1).alias("run"))
+
+
+@query("""WITH p AS (SELECT c_custkey, c_name, unnest(range(1, strlen(c_name) + 1)) AS i FROM customer)
+  SELECT c_custkey, ((sum((strlen(c_name) - i + 1) * ascii(substr(c_name, i, 1))) + any_value(strlen(c_name))) % 65521 * 65536 + (1 + sum(ascii(substr(c_name, i, 1)))) % 65521)::BIGINT AS adler32 FROM p GROUP BY c_custkey""")
+def adler32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", b.adler32(b.blob(F.col("c_name"))).alias("adler32"))
+
+
 # What is there -----------------------------------------------------------------------------------
 
 

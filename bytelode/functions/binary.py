@@ -11,6 +11,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def blob(text: Column) -> Column:
@@ -109,12 +110,12 @@ def run_length(content: Column, at: int, values: bytes = b"\x00\xff") -> Column:
     return F.length(F.regexp_extract(F.substring(latin1(content), at + 1, 1 << 30), f"(?s)^[{chosen}]*", 0))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def adler32(content: pd.Series) -> pd.Series:
     return content.map(lambda x: None if x is None else zlib.adler32(x)).astype("Int64")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def leb128(content: pd.Series) -> pd.Series:
     """The number in groups of 7 bits, the lowest first, that the content starts with; null if it has no end or over 63 bits."""
 

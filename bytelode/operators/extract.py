@@ -11,7 +11,7 @@ import tarfile
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
 import pyarrow as pa
 import zstandard
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 
 from bytelode.formats import FORMATS, alpha
 from bytelode.functions import codecs, paths
+from bytelode.operators import streams  # noqa: F401  (registers its extractor)
+from bytelode.operators.entry import EXTRACTORS, Entry, Extractor, extractor
 
 ENTRIES = "parent_id string, handler string, path string, type string, mode int, size long, link_target string, content binary, problem string, resolution string, severity string"
 NAMES = [x.split()[0] for x in ENTRIES.split(", ")]
@@ -27,30 +29,6 @@ SCHEMA = pa.schema([(x.split()[0], KINDS[x.split()[1]]) for x in ENTRIES.split("
 MOST = 1 << 30
 
 
-@dataclass(frozen=True)
-class Entry:
-    path: str
-    type: str = "file"
-    content: bytes | None = None
-    mode: int = 0o644
-    link_target: str | None = None
-    problem: str | None = None
-    resolution: str | None = None
-    severity: str | None = None
-
-
-Extractor = Callable[[bytes], Iterator[Entry]]
-EXTRACTORS: dict[str, Extractor] = {}
-
-
-def extractor(*names: str) -> Callable[[Extractor], Extractor]:
-    def add(f: Extractor) -> Extractor:
-        EXTRACTORS.update(dict.fromkeys(names, f))
-        return f
-
-    return add
-
-
 class TooLarge(ValueError):
     """More comes out than a row may hold."""
 

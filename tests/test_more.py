@@ -97,3 +97,24 @@ def test_blobs():
     blob = struct.pack("<III", 0xBABE, 0, 5) + bytes(4) + b"name.bin".ljust(32, b"\0") + b"12345"
     data = pad({0: b"HDR1", 16: struct.pack("<8I", 64, 200, *[0] * 6), 64: blob, 200: blob.replace(b"name", b"more")}, 300)
     assert [(e.path, e.content) for e in extract.unpack(data, "hdr1")] == [("name.bin", b"12345"), ("more.bin", b"12345")]
+
+
+def test_send_stream():
+    from bytelode.operators import streams
+
+    def command(kind, *attributes, bad=False):
+        body = b"".join(struct.pack("<HH", k, len(v)) + v for k, v in attributes)
+        crc = streams.crc32c(struct.pack("<IHI", len(body), kind, 0) + body)
+        return struct.pack("<IHI", len(body), kind, crc ^ bad) + body
+
+    n = lambda x: struct.pack("<Q", x)
+    data = b"btrfs-stream\0" + struct.pack("<I", 1) + b"".join([
+        command(1, (15, b"vol")), command(4, (15, b"o1")), command(9, (15, b"o1"), (16, b"dir")), command(3, (15, b"o2")), command(15, (15, b"o2"), (18, n(2)), (19, b"hello")), command(9, (15, b"o2"), (16, b"dir/f")),
+        command(17, (15, b"dir/f"), (4, n(6))), command(8, (15, b"l"), (17, b"dir/f")), command(3, (15, b"gone")), command(11, (15, b"gone")), command(3, (15, b"c")), command(16, (15, b"c"), (18, n(0)), (22, b"dir/f"), (23, n(2)), (24, n(3))),
+        command(15, (15, b"c"), (18, n(0)), (19, b"XXX"), bad=True), command(18, (15, b"c"), (5, n(0o600))), command(15, (15, b"none"), (18, n(0)), (19, b"x")), command(21),
+    ])
+    assert streams.crc32c(b"123456789", 0xFFFFFFFF) ^ 0xFFFFFFFF == 0xE3069283
+    got = list(extract.unpack(data, "btrfs_stream"))
+    assert {(e.path, e.content) for e in got if e.content is not None} == {("dir/f", b"\0\0hell"), ("c", b"hel")}
+    assert [e.link_target for e in got if e.type == "link"] == ["dir/f"] and sum(e.problem is not None for e in got) == 2
+    assert [r[:3] for r in __import__("bytelode.operators.scan", fromlist=["scanner"]).scanner().search(data + b"tail") if r[0] == "btrfs_stream"] == [("btrfs_stream", 0, len(data))]

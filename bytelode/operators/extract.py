@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from bytelode.formats import FORMATS, alpha
 from bytelode.functions import codecs, paths
-from bytelode.operators import streams  # noqa: F401  (registers its extractor)
+from bytelode.operators import lvm, streams, ufs  # noqa: F401  (they register extractors)
 from bytelode.operators.entry import EXTRACTORS, Entry, Extractor, extractor
 
 ENTRIES = "parent_id string, handler string, path string, type string, mode int, size long, link_target string, content binary, problem string, resolution string, severity string"
@@ -367,6 +367,37 @@ def xalz(data: bytes) -> Iterator[Entry]:
     yield Entry("xalz.uncompressed", content=codecs.lz4_block(data[12:], size))
 
 
+@extractor("airoha")
+def airoha(data: bytes) -> Iterator[Entry]:
+    at, size = struct.unpack_from("<II", data, 262)
+    firmware = data[at : at + size]
+    if firmware[:3] == b"]\0\0":
+        yield Entry("firmware.bin", content=inflated(lzma.LZMADecompressor(lzma.FORMAT_ALONE), firmware))
+    else:
+        yield Entry("firmware.encrypted", content=firmware)
+
+
+@extractor("moxa_frm")
+def moxa_frm(data: bytes) -> Iterator[Entry]:
+    """Sections of 16 bytes (type, offset, size) after the header: 1 is the firmware, 2 a table of files within the section."""
+    for i in range(struct.unpack_from("<H", data, 14)[0]):
+        kind, at, size = struct.unpack_from("<III", data, 64 + 16 * i)
+        section = data[at : at + size]
+        if kind == 1:
+            yield Entry("firmware.bin", content=section)
+        elif kind == 2:
+            table, width, count = struct.unpack_from("<I", section, 48)[0], *struct.unpack_from("<HH", section, 56)
+            for n in range(count or struct.unpack_from("<H", section, 66)[0]):
+                row = section[table + n * width : table + n * width + 64]
+                length, place = struct.unpack_from("<II", row, 56)
+                name, content = row[:48].rstrip(b"\0"), section[place : place + length]
+                if name and place < size:
+                    yield Entry(name.decode("ascii", "replace"), content=members(lambda: zlib.decompressobj(31), content, b"\x1f\x8b") if content[:2] == b"\x1f\x8b" else content)
+        else:
+            yield Entry("", problem=f"a section of type {kind}", resolution="Stopped here.", severity="ERROR")
+            return
+
+
 @extractor("minifs")
 def minifs(data: bytes) -> Iterator[Entry]:
     files, _, names = struct.unpack_from(">III", data, 20)

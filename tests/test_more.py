@@ -118,3 +118,77 @@ def test_send_stream():
     assert {(e.path, e.content) for e in got if e.content is not None} == {("dir/f", b"\0\0hell"), ("c", b"hel")}
     assert [e.link_target for e in got if e.type == "link"] == ["dir/f"] and sum(e.problem is not None for e in got) == 2
     assert [r[:3] for r in __import__("bytelode.operators.scan", fromlist=["scanner"]).scanner().search(data + b"tail") if r[0] == "btrfs_stream"] == [("btrfs_stream", 0, len(data))]
+
+
+@pytest.mark.parametrize("second, solaris", [(False, False), (True, False), (False, True)])
+def test_ufs(second, solaris):
+    sb, width, fragment, block = (0x10000 if second else 0x2000), (256 if second else 128), 1024, 4096
+    inodes = 100 if second else 40
+
+    def inode(mode, size, pointers):
+        head = struct.pack("<H", mode)
+        at = (16, 112, "Q") if second else (8, 40, "I")
+        body = pointers if isinstance(pointers, bytes) else struct.pack(f"<{len(pointers)}{at[2]}", *pointers)
+        return pad({0: head, at[0]: struct.pack("<Q", size), at[1]: body}, width)
+
+    def entry(number, name, step):
+        return pad({0: struct.pack("<IH", number, step), 6: struct.pack("<H", len(name)) if solaris else bytes([0, len(name)]), 8: name}, step)
+
+    folder = entry(2, b".", 12) + entry(2, b"..", 12) + entry(3, b"file", 16) + entry(4, b"sub", 16) + entry(5, b"link", 456)
+    inner = entry(4, b".", 12) + entry(4, b"self", 500)
+    big = b"".join(bytes([i]) * block for i in range(14))  # twelve direct blocks, and two by an indirect one
+    base = 200
+    table = [bytes(width)] * 2 + [inode(0o40755, 512, [base]), inode(0o100644, len(big), [base + 8 + 4 * i for i in range(12)] + [base + 4]), inode(0o40700, 512, [base + 1]), inode(0o120777, 4, b"file")]
+    step = 8 if second else 4
+    indirect = b"".join((base + 8 + 4 * i).to_bytes(step, "little") for i in (12, 13))
+    fields = {16: inodes, 44: 1, 48: block, 52: fragment, 56: 4, 184: 64, 188: 1000}
+    data = pad({**{sb + k: struct.pack("<I", v) for k, v in fields.items()}, inodes * fragment: b"".join(table), base * fragment: folder, (base + 1) * fragment: inner, (base + 4) * fragment: indirect, (base + 8) * fragment: big}, (base + 80) * fragment)
+    got = list(extract.unpack(data, "ufs2" if second else "solaris_ufs1" if solaris else "ufs1"))
+    assert [(e.path, e.type) for e in got] == [("file", "file"), ("sub", "dir"), ("sub/self", "dir"), ("link", "link")]
+    assert got[0].content == big and got[3].link_target == "file"
+
+
+def test_lvm():
+    import zlib
+
+    text = """vg {
+id = "x" # a comment
+extent_size = 2
+physical_volumes { pv0 { id = "ABCDEF-0123-4567-89AB-CDEF-0123-456789" pe_start = 16 } pv1 { id = "other" pe_start = 16 } }
+logical_volumes {
+root { segment1 { start_extent = 0 extent_count = 1 type = "striped" stripe_count = 1 stripes = ["pv0", 1] } segment2 { start_extent = 1 extent_count = 1 type = "striped" stripe_count = 1 stripes = ["pv0", 0] } }
+bad { segment1 { start_extent = 0 extent_count = 1 type = "mirror" } segment2 { start_extent = 1 extent_count = 1 type = "striped" stripe_count = 1 stripes = ["pv1", 0] } }
+}
+}
+"""
+    raw = text.encode()
+    pv = b"ABCDEF0123456789ABCDEF0123456789" + struct.pack("<Q", 10240) + struct.pack("<4Q", 8192, 0, 0, 0) + struct.pack("<4Q", 4096, 2048, 0, 0)
+    sector = pad({0: b"LABELONE", 8: struct.pack("<Q", 1), 20: struct.pack("<I", 32), 24: b"LVM2 001", 32: pv}, 512)
+    crc = zlib.crc32(sector[20:], 0xF597A6CF ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
+    sector = sector[:16] + struct.pack("<I", crc) + sector[20:]
+    cut = 200  # the text goes round the end of its area
+    area = pad({4: b" LVM2 x[5A%r0N*>", 24: struct.pack("<QQQ", 4096, 2048, 0)[:0], 32: struct.pack("<Q", 2048), 40: struct.pack("<QQ", 2048 - cut, len(raw)), 512: raw[cut:], 2048 - cut: raw[:cut]}, 2048)
+    data = pad({512: sector, 4096: area, 8192: b"A" * 1024 + b"B" * 1024}, 10240)
+    got = {e.path: e for e in extract.unpack(data, "lvm2")}
+    assert got["root.img"].content == b"B" * 1024 + b"A" * 1024 and got["root.img"].problem is None
+    assert got["bad.img"].content == bytes(2048) and "mirror" in got["bad.img"].problem and "pv1" in got["bad.img"].problem
+    from bytelode.operators.scan import scanner
+
+    assert [r[:3] for r in scanner().search(data) if r[0] == "lvm2"] == [("lvm2", 0, 10240)]
+
+
+def test_airoha():
+    packed = lzma.compress(b"firmware" * 40, format=lzma.FORMAT_ALONE)
+    for body, name, content in ((packed, "firmware.bin", b"firmware" * 40), (b"locked..", "firmware.encrypted", b"locked..")):
+        data = pad({262: struct.pack("<II", 300, len(body)), 300: body}, 300 + len(body))
+        assert [(e.path, e.content) for e in extract.unpack(data, "airoha")] == [(name, content)]
+
+
+def test_moxa():
+    import gzip
+
+    packed = gzip.compress(b"page")
+    row = lambda name, size, at: name.ljust(56, b"\0") + struct.pack("<II", size, at)
+    files = pad({48: struct.pack("<I", 0x100), 56: struct.pack("<HH", 64, 2), 0x100: row(b"a.htm", 5, 0x200) + row(b"b.htm", len(packed), 0x210), 0x200: b"plain", 0x210: packed}, 0x300)
+    data = pad({0: b"*FRM", 14: struct.pack("<H", 2), 64: struct.pack("<8I", 2, 0x60, len(files), 0, 1, 0x400, 8, 0), 0x60: files, 0x400: b"firmware"}, 0x408)
+    assert [(e.path, e.content) for e in extract.unpack(data, "moxa_frm")] == [("a.htm", b"plain"), ("b.htm", b"page"), ("firmware.bin", b"firmware")]

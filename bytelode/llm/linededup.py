@@ -93,7 +93,8 @@ def keep_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
     The bits after the last lost line are set.
     """
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    places = map_arrow(marked, keyed_lines(least), "h binary, doc_id long, mark long, pos int")
+    # Written, as range partitioning looks at its input twice: once for a sample of the ranges.
+    places = materialize(map_arrow(marked, keyed_lines(least), "h binary, doc_id long, mark long, pos int"), "line-keys")
     order = [F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("pos")]
     ranged = places.repartitionByRange(*order).sortWithinPartitions(*order)
     seen = materialize(ranged.mapInArrow(stream_firsts, "kind int, h binary, doc_id long, mark long, pos int"), "line-places")

@@ -5,8 +5,9 @@ seeds.  For each document and item with a common seed, running Karp-Rabin repeat
 between words that no tile covers yet, and marks them as tiles, longest first, down to runs of ``least`` words.  An item
 is leaked if tiles cover a share of ``cover`` of its words, in whatever order they stand in the document.
 
-The index of the test items is broadcast in parts of at most ``PART`` words each (an item is never cut); with more
-items, documents pass through the parts one after the other, in one stage.
+The index of test items of up to ``PART`` words in all is broadcast. With more, the seeds are joined instead: a filter of
+fixed size picks the documents' seeds that any item may have, these meet the items' seeds by an equi-join, and tiling is
+run on the pairs that come of it.
 
 Defined cases: null and empty texts and items match nothing; an item with fewer words than ``least`` must stand in
 the document as a whole; repeated rows get the same answer, repeated items are reported each; empty tables give
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytelode.llm.common import WORD, free, map_arrow
+from bytelode.llm.common import WORD, free, map_arrow, materialize
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -171,28 +172,78 @@ ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()),
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, cover: float = 0.5, part: int = PART, name: str = "_leaks") -> DataFrame:
     """``docs`` with the leaked items of each document, in a last column of that name."""
-    spark = docs.sparkSession
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    total = benchmark.agg(F.sum(words)).first()[0] or 0
-    parts = -(-total // part) if total else 1
-    out = docs.withColumn(name, F.lit(None).cast(FOUND))
+    if (benchmark.agg(F.sum(words)).first()[0] or 0) > part:
+        return joined_leaks(docs, benchmark, least, cover, name)
+    rows = sorted(((r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    shared = docs.sparkSession.sparkContext.broadcast(indexed(rows, least))
     at = docs.columns.index("text")
 
-    def adder(shared):
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, tokens = shared.value, Tokens()
-            for batch in batches:
-                before = batch.column(batch.num_columns - 1).to_pylist()
-                found = [(b or []) + leaks(t, index, tokens, least, cover) for t, b in zip(batch.column(at).to_pylist(), before)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, ARROW)], names=batch.schema.names)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, tokens = shared.value, Tokens()
+        for batch in batches:
+            found = [leaks(t, index, tokens, least, cover) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, ARROW)], names=[*batch.schema.names, name])
 
-        return add
+    return map_arrow(docs, add, T.StructType([*docs.schema.fields, T.StructField(name, FOUND)]))
 
-    for p in range(parts):
-        own = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else benchmark
-        rows = sorted(((r["item_id"], r["text"]) for r in own.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        out = map_arrow(out, adder(spark.sparkContext.broadcast(indexed(rows, least))), out.schema)
-    return out
+
+def joined_leaks(docs: DataFrame, benchmark: DataFrame, least: int, cover: float, name: str, bits: int = 26) -> DataFrame:
+    """The same, for test items of any size: no table is on the driver or broadcast but a filter of ``2**bits`` bits."""
+    spark = docs.sparkSession
+    schema = "key long, id long, size int, seed long"
+
+    def seeds(filtered):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens = Tokens()
+            chosen, sizes = filtered.value if filtered else (None, range(1, least + 1))
+            for batch in batches:
+                keys, ids, found, lengths = [], [], [], []
+                for key, i, text in zip(*(batch[c].to_pylist() for c in ("key", "id", "text"))):
+                    a = tokens.of(text)
+                    for size in sizes if filtered else [min(least, len(a))]:
+                        h = np.unique(rolled(a, size)) if size else np.empty(0, U)
+                        if filtered:
+                            spot = (h >> U(64 - bits)).astype(np.int64)
+                            h = h[chosen[spot >> 6] >> (spot & 63).astype(U) & U(1) == 1]
+                        found.append(h.view(np.int64))
+                        keys += [key] * len(h)
+                        ids += [i] * len(h)
+                        lengths += [size] * len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(np.concatenate(found or [np.empty(0, np.int64)]))], names=["key", "id", "size", "seed"])
+
+        return rows
+
+    key = F.xxhash64("text")
+    items = benchmark.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id"), F.col("text").alias("item_text"))
+    own = materialize(map_arrow(items.select(F.col("item").alias("key"), F.col("item_id").alias("id"), F.col("item_text").alias("text")), seeds(None), schema), "item-seeds")
+    spot = F.shiftrightunsigned("seed", 64 - bits)
+    # At most 2**bits / 64 rows, whatever the items' number.
+    words = own.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(seed, {64 - bits}) & 63 AS INT)))").alias("b")).collect()
+    chosen = np.zeros(1 << (bits - 6), np.int64)
+    chosen[[r["w"] for r in words]] = [r["b"] for r in words]
+    lengths = sorted(r["size"] for r in own.select("size").distinct().collect())  # at most ``least``
+    filtered = spark.sparkContext.broadcast((chosen.view(U), lengths))
+    texts = docs.select(key.alias("key"), F.col("doc_id").alias("id"), "text")
+    mine = map_arrow(texts, seeds(filtered), schema).join(own.select(F.col("key").alias("item"), "size", "seed"), ["size", "seed"])
+    pairs = materialize(mine.select("key", "id", "item").distinct(), "leak-pairs")
+    opened = pairs.join(items.dropDuplicates(["item"]).select("item", "item_text"), "item").join(texts.dropDuplicates(["key"]).select("key", "text"), "key")
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            found = [leaks(t, indexed([(None, i)], least), tokens, least, cover) for t, i in zip(batch["text"].to_pylist(), batch["item_text"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["id"], batch["item"], pa.array([f[0]["coverage"] if f else None for f in found], pa.float64()), pa.array([f[0]["tiles"] if f else None for f in found], ARROW.value_type.field("tiles").type)], names=["key", "id", "item", "coverage", "tiles"])
+
+    tiled = map_arrow(opened.select("key", "id", "item", "item_text", "text"), tile, T.StructType([T.StructField(n, T.LongType()) for n in ("key", "id", "item")] + FOUND.elementType.fields[1:]))
+    hits = tiled.filter(F.col("coverage").isNotNull()).join(items.select("item", "item_id"), "item")
+    each = hits.groupBy("key", "id").agg(F.collect_list(F.struct("item_id", "coverage", "tiles")).alias("hits"))
+    # Repeated rows of one id and text have met once each.
+    each = materialize(each, "leaks")
+    k, i, h = free(docs, "_key", "_id", "_hits")
+    each = each.select(F.col("key").alias(k), F.col("id").alias(i), F.col("hits").alias(h))
+    out = docs.join(each, (F.xxhash64(docs["text"]) == each[k]) & docs["doc_id"].eqNullSafe(each[i]), "left")
+    return out.select(*docs.columns, F.coalesce(h, F.array().cast(FOUND)).alias(name))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, least: int = 5, cover: float = 0.5) -> DataFrame:

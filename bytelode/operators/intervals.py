@@ -11,12 +11,15 @@ from bytelode.functions.binary import single_byte, slice_bytes
 def outer(chunks: DataFrame, by: str = "file_id") -> DataFrame:
     """``chunks`` without those that lie in a larger one of the same file; of equal ranges all stay.
 
-    Distinct ranges are swept in order of start, the longer first: one is outer if it ends beyond all before it.
+    Distinct ranges are swept in order of start, the longer first: one is outer if it ends beyond all before it.  One
+    shuffle, by file: rows of one range travel together.
     """
+    rest = [c for c in chunks.columns if c not in (by, "start", "end")]
     order = Window.partitionBy(by).orderBy(F.col("start"), F.col("end").desc())
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    kept = chunks.select(by, "start", "end").distinct().withColumn("_reach", reach).filter(F.col("_reach").isNull() | (F.col("_reach") < F.col("end")))
-    return chunks.join(kept.drop("_reach"), [by, "start", "end"], "left_semi")
+    ranges = chunks.repartition(by).groupBy(by, "start", "end").agg(F.collect_list(F.struct(*rest, F.lit(0).alias("_one"))).alias("_rows")).withColumn("_reach", reach)
+    kept = ranges.filter(F.col("_reach").isNull() | (F.col("_reach") < F.col("end")))
+    return kept.select(by, "start", "end", F.inline("_rows")).select(*chunks.columns)
 
 
 def gaps(chunks: DataFrame, files: DataFrame, by: str = "file_id") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from bytelode.formats import FORMATS, alpha
 from bytelode.functions import codecs, paths
+from bytelode.functions.batches import map_batches
 from bytelode.operators import lvm, streams, ufs  # noqa: F401  (they register extractors)
 from bytelode.operators.entry import EXTRACTORS, Entry, Extractor, extractor
 
@@ -532,4 +533,4 @@ def entries(chunks: DataFrame) -> DataFrame:
                 # A batch for each container: what one holds may be large.
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(SCHEMA)], schema=SCHEMA)
 
-    return chunks.select("chunk_id", "handler", "content", "is_encrypted").mapInArrow(rows, ENTRIES)
+    return map_batches(chunks.select("chunk_id", "handler", "content", "is_encrypted"), rows, ENTRIES)

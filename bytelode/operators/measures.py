@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytelode.functions.batches import map_batches
 from bytelode.functions.binary import latin1
 
 SHANNON = "percentages array<double>, block_size long, mean double"
@@ -96,7 +97,7 @@ def with_randomness(blobs: DataFrame, content: str = "content") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in rest), *(pa.array([x[i] for x in found], kind) for i in (0, 1))], names=[*(f.name for f in rest), "shannon", "chi_square"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), RANDOMNESS])
-    return blobs.mapInArrow(measure, schema)
+    return map_batches(blobs, measure, schema)
 
 
 def byte_measures(blobs: DataFrame, content: str = "content") -> DataFrame:
@@ -110,7 +111,7 @@ def byte_measures(blobs: DataFrame, content: str = "content") -> DataFrame:
             columns = [[entropy_of(c) for c in counts], statistic, [chi_square_of(c) for c in counts]]
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in rest), *(pa.array(x, pa.float64()) for x in columns)], names=[*(f.name for f in rest), "entropy", "chi_square", "p_value"])
 
-    return blobs.mapInArrow(measure, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "entropy double, chi_square double, p_value double"]))
+    return map_batches(blobs, measure, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "entropy double, chi_square double, p_value double"]))
 
 
 def blocks(blobs: DataFrame, size: Column | int, content: str = "content") -> DataFrame:

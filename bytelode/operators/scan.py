@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from bytelode.formats import FORMATS, Format
+from bytelode.functions.batches import map_batches
 from bytelode.functions.patterns import TOKEN, compiled
 
 CHUNKS = "file_id string, handler string, start long, end long, is_encrypted boolean, severity string, error string"
@@ -173,7 +174,7 @@ def search_chunks(blobs: DataFrame, names: Iterable[str] | None = None, extra: t
             out = [(i, *r) for i, x in zip(batch["file_id"].to_pylist(), batch["content"].to_pylist()) for r in own.search(x or b"")]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=NAMES)
 
-    return blobs.select(blobs["file_id"].cast("string").alias("file_id"), "content").mapInArrow(rows, CHUNKS)
+    return map_batches(blobs.select(blobs["file_id"].cast("string").alias("file_id"), "content"), rows, CHUNKS)
 
 
 def literal_hits(blobs: DataFrame, markers: dict[str, bytes]) -> DataFrame:
@@ -185,4 +186,4 @@ def literal_hits(blobs: DataFrame, markers: dict[str, bytes]) -> DataFrame:
             out = [(i, n, m.start()) for i, x in zip(batch["file_id"].to_pylist(), batch["content"].to_pylist()) for n, p in found.items() for m in p.finditer(x or b"")]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["file_id", "marker", "at"])
 
-    return blobs.select(blobs["file_id"].cast("long").alias("file_id"), "content").mapInArrow(rows, "file_id long, marker string, at long")
+    return map_batches(blobs.select(blobs["file_id"].cast("long").alias("file_id"), "content"), rows, "file_id long, marker string, at long")

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import logging
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelode.functions.binary import slice_bytes
+from bytelode.functions.batches import map_batches
 from bytelode.operators import extract, intervals, measures, scan
 from bytelode.sources import files as source
 
@@ -57,25 +59,68 @@ def stored(df: DataFrame, folder: str, name: str, depth: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_MEASURE = "struct<percentages:array<double>,block_size:bigint,mean:double>"
+OPENED = f"what string, file_id string, start long, end long, kind string, shannon {_MEASURE}, chi_square {_MEASURE}, {extract.ENTRIES}"
+
+
+def opener(measure: bool, unpack: bool):
+    """One look at each file's content for all that needs it: gaps are classified and measured, chunks unpacked."""
+    kind = pa.struct([("percentages", pa.list_(pa.float64())), ("block_size", pa.int64()), ("mean", pa.float64())])
+    fields = [("what", pa.string()), ("file_id", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("shannon", kind), ("chi_square", kind), *((f.name, f.type) for f in extract.SCHEMA)]
+    schema = pa.schema(fields)
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, content, ranges in zip(batch["file_id"].to_pylist(), batch["content"], batch["ranges"].to_pylist()):
+                data = content.as_py() or b""
+                out: list[dict] = []
+                bare = [] if ranges else [{"handler": None, "start": 0, "end": len(data)}]
+                for r in [*(ranges or []), *bare]:
+                    part = data[r["start"] : r["end"]]
+                    if r["handler"] is None:
+                        padding = bool(ranges) and part.count(part[:1]) == len(part)
+                        row = {"what": "gap" if ranges else "bare", "file_id": file_id, "start": r["start"], "end": r["end"], "kind": "padding" if padding else "unknown"}
+                        if measure and not padding:
+                            row["shannon"], row["chi_square"] = measures.randomness(part)
+                        out.append(row)
+                    elif unpack:
+                        for e in extract.unpack(part, r["handler"], bool(r["is_encrypted"])):
+                            out.append({"what": "entry", "file_id": file_id, "parent_id": r["chunk_id"], "handler": r["handler"], "path": e.path, "type": e.type, "mode": e.mode, "size": len(e.content or b""), "link_target": e.link_target, "content": e.content, "problem": e.problem, "resolution": e.resolution, "severity": e.severity})
+                            if len(out) >= 256 or len(e.content or b"") > 1 << 20:
+                                yield batch_of(out)
+                                out = []
+                yield batch_of(out)
+
+    return rows
+
+
 def level(files: DataFrame, depth: int, config: Config, folder: str) -> dict[str, DataFrame]:
-    """The tables of one level; ``files`` has (file_id, path, length, content)."""
+    """The tables of one level; ``files`` has (file_id, path, length, content).
+
+    Content is read twice: by the search, which shuffles none of it, and once more when it meets its ranges.
+    """
     own = files.withColumn("magic", source.signature(F.col("content"), source.SIGNATURES))
     skip = source.skipped(F.col("magic"), F.col("path"), config.skip_kinds, config.skip_suffixes)
     searched = own.filter((F.col("length") > 0) & ~skip) if depth < config.max_depth else own.filter(F.lit(False))
     found = stored(scan.search_chunks(searched, config.handlers, config.formats), folder, "found", depth)
     chunks = intervals.outer(found.filter(F.col("error").isNull()).drop("severity", "error")).withColumn("chunk_id", chunk_id(F.col("handler")))
     chunks = stored(chunks, folder, "chunks", depth)
-    gaps = intervals.gaps(chunks, searched.select("file_id", "length"))
-    gaps = stored(intervals.padded(gaps.filter(~F.col("overlap")), searched).withColumn("chunk_id", chunk_id(F.col("kind"))), folder, "gaps", depth)
-    out = {"found": found, "chunks": chunks, "gaps": gaps}
+    gaps = intervals.gaps(chunks, searched.select("file_id", "length")).filter(~F.col("overlap"))
+    names = ["file_id", "start", "end", "handler", "is_encrypted", "chunk_id"]
+    ranges = chunks.select(*names).unionByName(gaps.select("file_id", "start", "end"), allowMissingColumns=True)
+    by_file = stored(ranges.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct(*names[1:]))).alias("ranges")), folder, "ranges", depth)
+    work = searched.select("file_id", "content").join(by_file, "file_id", "left")
+    opened = stored(map_batches(work, opener(depth < config.randomness_depth, not config.skip_extraction), OPENED), folder, "opened", depth)
+    named = opened.filter("what = 'gap'").select("file_id", "start", "end", F.lit(False).alias("overlap"), "kind").withColumn("chunk_id", chunk_id(F.col("kind")))
+    out = {"found": found, "chunks": chunks, "gaps": named}
     if depth < config.randomness_depth:
-        # What no chunk covers, and files in which nothing was found.
-        unknown = gaps.filter("kind = 'unknown'").join(searched.select("file_id", "content"), "file_id").select("file_id", "chunk_id", "start", "end", slice_bytes(F.col("content"), F.col("start"), F.col("end")).alias("content"))
-        bare = searched.join(chunks.select("file_id"), "file_id", "left_anti").select("file_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), "content")
-        out["randomness"] = stored(measures.with_randomness(unknown.unionByName(bare)), folder, "randomness", depth)
+        measured = opened.filter("shannon IS NOT NULL").withColumn("chunk_id", F.when(F.col("what") == "gap", chunk_id(F.col("kind"))))
+        out["randomness"] = measured.select("file_id", "chunk_id", "start", "end", "shannon", "chi_square")
     if not config.skip_extraction:
-        carved = chunks.join(searched.select("file_id", "path", "content"), "file_id").select("chunk_id", "handler", "is_encrypted", slice_bytes(F.col("content"), F.col("start"), F.col("end")).alias("content"))
-        out["entries"] = stored(extract.entries(carved), folder, "entries", depth)
+        out["entries"] = opened.filter("what = 'entry'").select(*extract.NAMES)
     return out
 
 

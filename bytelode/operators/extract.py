@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from bytelode.formats import FORMATS, alpha
 from bytelode.functions import codecs, paths
 from bytelode.functions.batches import map_batches
-from bytelode.operators import lvm, streams, ufs  # noqa: F401  (they register extractors)
+from bytelode.operators import lvm, streams, ufs, yaffs  # noqa: F401  (they register extractors)
 from bytelode.operators.entry import EXTRACTORS, Entry, Extractor, extractor
 
 ENTRIES = "parent_id string, handler string, path string, type string, mode int, size long, link_target string, content binary, problem string, resolution string, severity string"
@@ -483,7 +483,7 @@ def minix(data: bytes) -> Iterator[Entry]:
 def checked(entry: Entry, seen: set[str]) -> Entry:
     """The entry with a safe path and link target, or its problem and what was done about it."""
     if not entry.path:
-        return replace(entry, content=None, problem="the name is empty", resolution="Skipped.", severity="WARNING")
+        return entry if entry.problem else replace(entry, content=None, problem="the name is empty", resolution="Skipped.", severity="WARNING")
     if len(entry.path.encode("utf-8", "surrogatepass").split(b"/")[-1]) > 255:
         return replace(entry, content=None, problem="the name is too long", resolution="Skipped.", severity="WARNING")
     path = paths.normal(paths.without_root(entry.path))

@@ -192,3 +192,21 @@ def test_moxa():
     files = pad({48: struct.pack("<I", 0x100), 56: struct.pack("<HH", 64, 2), 0x100: row(b"a.htm", 5, 0x200) + row(b"b.htm", len(packed), 0x210), 0x200: b"plain", 0x210: packed}, 0x300)
     data = pad({0: b"*FRM", 14: struct.pack("<H", 2), 64: struct.pack("<8I", 2, 0x60, len(files), 0, 1, 0x400, 8, 0), 0x60: files, 0x400: b"firmware"}, 0x408)
     assert [(e.path, e.content) for e in extract.unpack(data, "moxa_frm")] == [("a.htm", b"plain"), ("b.htm", b"page"), ("firmware.bin", b"firmware")]
+
+
+@pytest.mark.parametrize("order, at", [("<", 0), ("<", 2), (">", 0)])
+def test_yaffs(order, at):
+    def page(body, sequence, number, chunk, size):
+        return body.ljust(2048, b"\xff") + (b"\xff" * at + struct.pack(order + "4I", sequence, number, chunk, size)).ljust(64, b"\xff")
+
+    def head(kind, parent, name, size=0, target=b"", same=0):
+        return pad({0: struct.pack(order + "II", kind, parent), 8: b"\xff\xff", 10: name, 268: struct.pack(order + "I", 0o100640), 292: struct.pack(order + "II", size, same), 300: target}, 512)
+
+    data = b"".join([
+        page(head(3, 1, b"dir"), 0x1001, 257, 0, 0xFFFF), page(head(1, 257, b"file", 0), 0x1001, 258, 0, 0xFFFF), page(b"old" * 600, 0x1001, 258, 1, 1800), page(b"a" * 2048, 0x1001, 258, 1, 2048),
+        page(b"b" * 100, 0x1001, 258, 2, 100), page(head(1, 257, b"file", 2148), 0x1001, 258, 0, 0xFFFF), page(head(2, 1, b"link", target=b"dir/file"), 0x1002, 259, 0, 0xFFFF),
+        page(head(1, 3, b"gone", 0), 0x1002, 260, 0, 0xFFFF), page(head(4, 1, b"hard", same=258), 0x1002, 261, 0, 0xFFFF),
+    ])
+    got = [(e.path, e.type, e.content, e.link_target) for e in extract.unpack(data, "yaffs")]
+    assert got == [("dir", "dir", None, None), ("dir/file", "file", b"a" * 2048 + b"b" * 100, None), ("link", "link", None, "dir/file"), ("hard", "hardlink", None, "dir/file")]
+    assert [e.severity for e in extract.unpack(b"\3\0\0\0\1\0\0\0\xff\xff" + bytes(5000), "yaffs")] == ["ERROR"]

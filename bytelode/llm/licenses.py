@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Lines with words of licenses, and runs of such lines, are candidate blocks.  Each is compressed, lower-cased, by zstandard alone and
-with each template as a raw dictionary; templates are ranked by how much smaller the block gets.  The best few are confirmed by
-an exact comparison of wordings: the template's words must stand in the block in order but for a small share, and its
-telling words (names, numbers, versions) must all be there, without another one in their place.
+Lines with words of licenses, and runs of such lines, are candidate blocks.  Every template is compared with a block by
+wording: the template's words must stand at some place in the block in order but for a small share, and its telling words
+(names, numbers, versions) must all be there, without another one in their place.  The place, lower-cased, is compressed by
+zstandard alone and with the template as a raw dictionary; confirmed templates are ranked by differences, then by how much
+smaller it gets.
 
 Defined cases: null and empty texts have no blocks; a block that confirms no template is not reported; of confirmed
 templates the one with the fewest wording differences wins, then the larger reduction, then the name; repeated rows are
@@ -12,11 +13,11 @@ reported each; an empty table gives an empty result; columns besides ``doc_id``
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -93,39 +94,79 @@ def blocks(text: str, most: int = 64) -> Iterator[tuple[int, int]]:
             yield lines[run[0]][0], lines[run[-1]][1]
 
 
-def confirmed(template: list[str], block: list[str], slack: float) -> int | None:
-    """The number of words in which the template's wording differs from the block's place for it; None: not this license."""
-    match = difflib.SequenceMatcher(None, template, block, autojunk=False)
-    same = [m for m in match.get_matching_blocks() if m.size]
-    if not same:
-        return None
-    matched = sum(m.size for m in same)
-    place = block[same[0].b : same[-1].b + same[-1].size]
-    differences = len(template) - matched + len(place) - matched
-    if differences > slack * len(template) or telling(template) != telling(place):
-        return None
-    return differences
-
-
-def scan_text(text: str | None, best: int = 6, slack: float = 0.25, window: int = 4096) -> list[tuple]:
-    """(start, end, license, reduction, differences) of the blocks, in code points; a block longer than ``window`` is
-    compared in overlapping windows of it."""
+@lru_cache(maxsize=1)
+def vocabulary() -> tuple[dict[str, int], np.ndarray]:
+    """Places of the templates' words, and [template, place]: whether it has the word; the last place is for all other words."""
+    place = {w: i for i, w in enumerate(sorted({w for _, t, _ in dictionaries() for w in t}))}
+    has = np.zeros((len(TEMPLATES), len(place) + 1), bool)
+    for i, (_, t, _) in enumerate(dictionaries()):
+        has[i, [place[w] for w in t]] = True
+    return place, has
+
+
+#: Costs are differences times UNIT, less the place's first word, so that of equal costs the shortest place wins.
+UNIT, NEVER = 1 << 32, 1 << 52
+
+
+def aligned(template: list[str], found: list[str], most: int) -> list[tuple[int, int, int]]:
+    """(differences, first, stop) of the places in ``found``, one for each word at which one ends, that differ from the
+    template in at most ``most`` words left out or added; telling words are never left out or added."""
+    out = np.array([NEVER if telling([w]) else UNIT for w in template])
+    total = np.concatenate([[0], np.cumsum(out)])
+    same = {w: np.array([t == w for t in template]) for w in set(template) & set(found)}
+    cost, places = total.copy(), []
+    for j, w in enumerate(found):
+        step = cost + (NEVER if telling([w]) else UNIT)
+        if w in same:
+            step[1:] = np.where(same[w], np.minimum(step[1:], cost[:-1]), step[1:])
+        step[0] = -(j + 1)
+        cost = np.minimum.accumulate(step - total) + total
+        differences = -(-int(cost[-1]) // UNIT)
+        if differences <= most and (first := differences * UNIT - int(cost[-1])) <= j:
+            places.append((differences, first, j + 1))
+    return places
+
+
+def confirmed(found: list[str], slack: float) -> Iterator[tuple[int, int, int, int]]:
+    """(template, differences, first, stop) of all places for the templates.  Looked for only where a stretch, as long as
+    a place can be, has as many of the template's words as a place must have."""
+    place, has = vocabulary()
+    spots = np.array([place.get(w, len(place)) for w in found], np.int64)
+    for i, (_, template, _) in enumerate(dictionaries()):
+        most = int(slack * len(template))
+        longest, least = len(template) + most, len(template) - most
+        held = np.concatenate([[0], np.cumsum(has[i, spots])])
+        ends = np.minimum(np.arange(len(found)) + longest, len(found))
+        starts = np.flatnonzero(held[ends] - held[:-1] >= least)
+        if len(starts):
+            for part in np.split(starts, np.flatnonzero(np.diff(starts) > longest) + 1):
+                low, high = int(part[0]), int(ends[part[-1]])
+                for differences, first, stop in aligned(template, found[low:high], most):
+                    yield i, differences, low + first, low + stop
+
+
+def gain(text: str, template: int) -> tuple[int, int]:
+    """Bytes that the template as a dictionary saves of the text compressed, and bytes without it."""
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    alone = len(zstandard.ZstdCompressor(level=3).compress(raw))
+    return alone - len(dictionaries()[template][2].compress(raw)), alone
+
+
+def scan_text(text: str | None, slack: float = 0.25) -> list[tuple]:
+    """(start, end, license, reduction, differences) of the blocks, in code points."""
     if not text or not HINT.search(text):
         return []
-    plain = zstandard.ZstdCompressor(level=3)
     found: dict[tuple[int, int], tuple] = {}
     for start, end in blocks(text):
-        for at in range(start, max(start + 1, end - window // 2), window // 2):
-            part = text[at : min(end, at + window)]
-            raw = part.lower().encode("utf-8", "surrogatepass")
-            alone = len(plain.compress(raw))
-            ranked = sorted(((alone - len(z.compress(raw)), name, t) for name, t, z in dictionaries()), key=lambda x: (-x[0], x[1], x[2]))
-            own = words(part)
-            winners = [(d, -gain, name) for gain, name, t in ranked[:best] if gain > 0 and (d := confirmed(t, own, slack)) is not None]
-            if winners:
-                d, gain, name = min(winners)
-                if (old := found.get((start, end))) is None or d < old[4]:
-                    found[start, end] = (start, end, name, -gain / alone, d)
+        spans = [(m.start(), m.end()) for m in WORDS.finditer(text, start, end)]
+        own = [text[a:b].lower().rstrip(".") for a, b in spans]
+        winners = []
+        for i, d, first, stop in confirmed(own, slack):
+            saved, alone = gain(text[spans[first][0] : spans[stop - 1][1]], i)
+            winners.append((d, -saved, dictionaries()[i][0], saved / alone))
+        if winners:
+            d, _, name, reduction = min(winners)
+            found[start, end] = (start, end, name, reduction, d)
     # A run adds something only if none of its lines has that license by itself.
     return [r for r in found.values() if not any(o is not r and r[0] <= o[0] and o[1] <= r[1] and o[2] == r[2] for o in found.values())]
 

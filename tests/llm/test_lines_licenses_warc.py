@@ -2,11 +2,13 @@ import gzip
 import hashlib
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import docs, empty, odd
 from pyspark.sql import functions as F
 
 from bytelode.llm import licenses, linededup, warc
+from conftest import DATA
 
 
 def brute(rows, least=10):
@@ -149,3 +151,16 @@ def test_files(spark, tmp_path):
     rows = warc.read_archives(warc.archive_files(spark, str(tmp_path))).select("page_id", F.col("payload")).collect()
     assert {(r.page_id, bytes(r.payload)) for r in rows} == {(1, b"x"), (2, b"y")}
     assert gzip.decompress((tmp_path / "a.warc.gz").read_bytes()).startswith(b"WARC/1.1\r\n")
+
+
+def test_licenses_in_long_lines():
+    """Each template, unchanged, in lines of some 6,000 characters of prose."""
+    rows = pq.read_table(f"{DATA.replace('0.001', '0.01')}/documents.parquet", columns=["text", "lang"]).to_pylist()
+    prose = " ".join(r["text"] for r in rows if r["lang"] == "en" and r["text"] and not licenses.HINT.search(r["text"])).split()
+    rng = random.Random(1)
+    for name, template in licenses.TEMPLATES:
+        for _ in range(4):
+            at = rng.randrange(len(prose) - 1000)
+            words = prose[at : at + 1000]
+            words.insert(rng.randrange(1000), template)
+            assert (name, 0) in {(r[2], r[4]) for r in licenses.scan_text(" ".join(words))}

@@ -3,16 +3,17 @@
 Lines with words of licenses, and runs of such lines, are candidate blocks.  Every template is compared with a block by
 wording: the template's words must stand at some place in the block in order but for a small share, and its telling words
 (names, numbers, versions) must all be there, without another one in their place.  The place, lower-cased, is compressed by
-zstandard alone and with the template as a raw dictionary; confirmed templates are ranked by differences, then by how much
-smaller it gets.
+zstandard alone and with the template as a raw dictionary; of places that overlap, the one with the fewest differences
+stays, then the one that gets smaller by most.  Each place that stays is a row.
 
 Defined cases: null and empty texts have no blocks; a block that confirms no template is not reported; of confirmed
-templates the one with the fewest wording differences wins, then the larger reduction, then the name; repeated rows are
-reported each; an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are not read.
+places that overlap the one with the fewest wording differences wins, then the larger reduction in bytes, then the name, then
+the first; repeated rows are reported each; an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -153,26 +154,30 @@ def gain(text: str, template: int) -> tuple[int, int]:
 
 
 def scan_text(text: str | None, slack: float = 0.25) -> list[tuple]:
-    """(start, end, license, reduction, differences) of the blocks, in code points."""
+    """(start, end, license, reduction, differences) of the places in the blocks, in code points; none overlaps another."""
     if not text or not HINT.search(text):
         return []
-    found: dict[tuple[int, int], tuple] = {}
+    places = set()
     for start, end in blocks(text):
         spans = [(m.start(), m.end()) for m in WORDS.finditer(text, start, end)]
         own = [text[a:b].lower().rstrip(".") for a, b in spans]
-        winners = []
-        for i, d, first, stop in confirmed(own, slack):
-            saved, alone = gain(text[spans[first][0] : spans[stop - 1][1]], i)
-            winners.append((d, -saved, dictionaries()[i][0], saved / alone))
-        if winners:
-            d, _, name, reduction = min(winners)
-            found[start, end] = (start, end, name, reduction, d)
-    # A run adds something only if none of its lines has that license by itself.
-    return [r for r in found.values() if not any(o is not r and r[0] <= o[0] and o[1] <= r[1] and o[2] == r[2] for o in found.values())]
+        places |= {(i, d, spans[first][0], spans[stop - 1][1]) for i, d, first, stop in confirmed(own, slack)}
+    ranked = []
+    for i, d, start, end in places:
+        saved, alone = gain(text[start:end], i)
+        ranked.append((d, -saved, dictionaries()[i][0], start, end, saved / alone))
+    taken: list[tuple] = []
+    for d, _, name, start, end, reduction in sorted(ranked):
+        # A mark that ends the sentence belongs to the place.
+        end += text[end : end + 1] in (".", ":", ";")
+        at = bisect.bisect(taken, (start,))
+        if (not at or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, end, name, reduction, d))
+    return taken
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop, license, reduction (share of the compressed size), differences (words): a row for each block found."""
+    """doc_id, start, stop, license, reduction (share of the compressed size), differences (words): a row for each place found."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

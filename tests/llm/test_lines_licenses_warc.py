@@ -164,3 +164,11 @@ def test_licenses_in_long_lines():
             words = prose[at : at + 1000]
             words.insert(rng.randrange(1000), template)
             assert (name, 0) in {(r[2], r[4]) for r in licenses.scan_text(" ".join(words))}
+
+
+def test_several_licenses_in_a_line():
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    assert [r[:3] for r in licenses.scan_text(f"{mit} {apache}")] == [(0, 31, "MIT"), (32, 79, "Apache-2.0")]
+    long = f"{mit} {'word ' * 5000}{apache} {'word ' * 3000}{mit}"
+    assert [(r[2], long[r[0] : r[1]]) for r in licenses.scan_text(long)] == [("MIT", mit), ("Apache-2.0", apache), ("MIT", mit)]
+    assert len(licenses.scan_text(licenses.TEMPLATES[6][1])) == 1

@@ -1,12 +1,12 @@
 """License scans by conditional compression.
 
-Lines with words of licenses, and runs of such lines, are candidate blocks.  Every template is compared with a block by
-wording: the template's words must stand at some place in the block in order but for a small share, and its telling words
+Texts with words of licenses are candidates.  Every template is compared with such a text by wording, whatever its line
+breaks: the template's words must stand at some place in the text in order but for a small share, and its telling words
 (names, numbers, versions) must all be there, without another one in their place.  The place, lower-cased, is compressed by
 zstandard alone and with the template as a raw dictionary; of places that overlap, the one with the fewest differences
 stays, then the one that gets smaller by most.  Each place that stays is a row.
 
-Defined cases: null and empty texts have no blocks; a block that confirms no template is not reported; of confirmed
+Defined cases: null and empty texts have no places; a text that confirms no template is not reported; of confirmed
 places that overlap the one with the fewest wording differences wins, then the larger reduction in bytes, then the name, then
 the first; repeated rows are reported each; an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are not read.
 """
@@ -58,7 +58,7 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 #: Words that tell one license from another: each must match exactly.
 TELLING = frozenset("mit apache gnu lesser affero mozilla bsd isc cc cc0 by sa nc nd by-sa by-nc by-nd by-nc-sa by-nc-nd clause 2-clause 3-clause general mpl gpl lgpl agpl creative commons public domain".split())
-HINT = re.compile(r"licen[cs]|copyright|spdx|permission|redistribut|warrant|sublicens|public domain|creative commons|\bcc[- ]?(?:by|0)|\bgnu\b|source code form", re.I)
+HINT = re.compile(r"licen[cs]|copyright|spdx|permission|redistribut|warrant|sublicens|public[\W_]+domain|creative[\W_]+commons|\bcc[\W_]?(?:by|0)|\bgnu\b|source[\W_]+code[\W_]+form", re.I)
 WORDS = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
 
 
@@ -75,26 +75,6 @@ def dictionaries() -> list[tuple[str, list[str], zstandard.ZstdCompressor]]:
     return [(name, words(t), zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, t in TEMPLATES]
 
 
-def blocks(text: str, most: int = 64) -> Iterator[tuple[int, int]]:
-    """Lines with a hint, and runs of up to ``most`` lines that begin and end with one and skip at most one without."""
-    lines, at = [], 0
-    for line in text.split("\n"):
-        lines.append((at, at + len(line), bool(HINT.search(line))))
-        at += len(line) + 1
-    run: list[int] = []
-    runs: list[list[int]] = []
-    for i, (_, _, hint) in enumerate(lines):
-        if hint:
-            yield lines[i][:2]
-            if run and (i - run[-1] > 2 or i - run[0] >= most):
-                runs.append(run)
-                run = []
-            run.append(i)
-    for run in [*runs, run]:
-        if len(run) > 1:
-            yield lines[run[0]][0], lines[run[-1]][1]
-
-
 @lru_cache(maxsize=1)
 def vocabulary() -> tuple[dict[str, int], np.ndarray]:
     """Places of the templates' words, and [template, place]: whether it has the word; the last place is for all other words."""
@@ -154,16 +134,13 @@ def gain(text: str, template: int) -> tuple[int, int]:
 
 
 def scan_text(text: str | None, slack: float = 0.25) -> list[tuple]:
-    """(start, end, license, reduction, differences) of the places in the blocks, in code points; none overlaps another."""
+    """(start, end, license, reduction, differences) of the places, in code points; none overlaps another."""
     if not text or not HINT.search(text):
         return []
-    places = set()
-    for start, end in blocks(text):
-        spans = [(m.start(), m.end()) for m in WORDS.finditer(text, start, end)]
-        own = [text[a:b].lower().rstrip(".") for a, b in spans]
-        places |= {(i, d, spans[first][0], spans[stop - 1][1]) for i, d, first, stop in confirmed(own, slack)}
+    spans = [(m.start(), m.end()) for m in WORDS.finditer(text)]
     ranked = []
-    for i, d, start, end in places:
+    for i, d, first, stop in confirmed([text[a:b].lower().rstrip(".") for a, b in spans], slack):
+        start, end = spans[first][0], spans[stop - 1][1]
         saved, alone = gain(text[start:end], i)
         ranked.append((d, -saved, dictionaries()[i][0], start, end, saved / alone))
     taken: list[tuple] = []

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import textwrap
 
 import pyarrow.parquet as pq
 import pytest
@@ -172,3 +173,12 @@ def test_several_licenses_in_a_line():
     long = f"{mit} {'word ' * 5000}{apache} {'word ' * 3000}{mit}"
     assert [(r[2], long[r[0] : r[1]]) for r in licenses.scan_text(long)] == [("MIT", mit), ("Apache-2.0", apache), ("MIT", mit)]
     assert len(licenses.scan_text(licenses.TEMPLATES[6][1])) == 1
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+def test_wrapped_licenses(prefix):
+    """Full texts at their usual widths, in which many lines have no word of a license."""
+    for width in (30, 60, 78):
+        for name, template in licenses.TEMPLATES:
+            text = "\n".join(prefix + line for line in ["Heading", "", *textwrap.wrap(template, width, break_on_hyphens=False), "", "more", "words"])
+            assert [(r[2], r[4]) for r in licenses.scan_text(text)] == [(name, 0)], text

@@ -4,8 +4,9 @@ For each language, a suffix automaton is built of labelled text.  A document is
 longest matches: a phrase ends where the automaton has no step for the next symbol.  The language whose text lets the
 document be parsed into the fewest phrases for its length wins.
 
-Symbols are lower-cased letters; whatever stands between letters counts as one blank.  Automata are transition tables,
-and many pieces of text walk through a table at once: texts are cut into pieces of ``PIECE`` symbols, and a phrase ends
+Symbols are lower-cased letters, all that the training text has; whatever stands between letters counts as one blank.  A
+language's automaton has steps for its own letters only.  Automata are transition tables, or sorted lists of steps where
+tables would be large (many languages or letters), and many pieces of text walk through a table at once: texts are cut into pieces of ``PIECE`` symbols, and a phrase ends
 at a piece's end, for all languages alike.
 
 Defined cases: ``und`` with score 0 if a text is null or has no letter, or if there is nothing to learn from;
@@ -29,8 +30,8 @@ PIECE = 512
 BLANK, OTHER = 1, 0
 
 
-def automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transitions [state, symbol] of the suffix automaton; -1: none.  State 0 is the start."""
+def suffixes(symbols: np.ndarray) -> list[dict[int, int]]:
+    """For each state of the suffix automaton its steps, symbol: state.  State 0 is the start."""
     steps: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -56,29 +57,74 @@ def automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = clone
         last = now
-    out = np.full((len(steps), alphabet), -1, np.int32)
-    for state, step in enumerate(steps):
-        for c, to in step.items():
-            out[state, c] = to
-    return out
+    return steps
+
+
+def automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
+    """Transitions [state, symbol] of the suffix automaton; -1: none."""
+    return Steps.of(suffixes(symbols), alphabet).table()
+
+
+@dataclass(frozen=True)
+class Steps:
+    """Steps of an automaton: keys, which are state * width + symbol, in order, and the states that they lead to."""
+
+    width: int
+    states: int
+    keys: np.ndarray
+    to: np.ndarray
+
+    @staticmethod
+    def of(steps: list[dict[int, int]], width: int) -> Steps:
+        n = sum(map(len, steps))
+        keys = np.fromiter((state * width + c for state, step in enumerate(steps) for c in step), np.int64, n)
+        to = np.fromiter((to for step in steps for to in step.values()), np.int32, n)
+        order = np.argsort(keys)
+        return Steps(width, len(steps), keys[order], to[order])
+
+    def table(self) -> np.ndarray:
+        out = np.full(self.states * self.width, -1, np.int32)
+        out[self.keys] = self.to
+        return out.reshape(self.states, self.width)
+
+    def start(self) -> np.ndarray:
+        out = np.full(self.width, -1, np.int32)
+        n = np.searchsorted(self.keys, self.width)
+        out[self.keys[:n]] = self.to[:n]
+        return out
+
+    def after(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.to[at], -1)
 
 
 @dataclass(frozen=True)
 class Parser:
-    """letters: code points of the alphabet, from symbol 2 on; tables: by language, in order."""
+    """letters: code points of the alphabet, from symbol 2 on.  By language, in order: own, the symbols that its text has,
+    which are 1, 2, ... in its automaton; steps: the automaton."""
 
-    letters: list[int]
+    letters: np.ndarray
     languages: list[str]
-    tables: list[np.ndarray]
+    own: list[np.ndarray]
+    steps: list[Steps]
 
     def lookup(self) -> np.ndarray:
         """The symbol of each code point: a blank for what is no letter, OTHER for letters not seen in training."""
-        table = np.zeros(0x110000, np.uint8)
+        table = np.zeros(0x110000, np.int32)
         for start in range(0, 0x110000, 0x1000):
             table[start : start + 0x1000] = [OTHER if chr(c).isalpha() else BLANK for c in range(start, start + 0x1000)]
         table[self.letters] = np.arange(2, 2 + len(self.letters))
         return table
 
+    def tables(self, most: int = 64 << 20) -> list[np.ndarray | Steps]:
+        """The automata, as tables as long as all of them have at most so many bytes."""
+        out: list[np.ndarray | Steps] = []
+        for steps in self.steps:
+            size = 4 * steps.states * steps.width
+            out.append(steps.table() if size <= most else steps)
+            most -= size if size <= most else 0
+        return out
+
 
 def code_points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -92,20 +138,29 @@ def symbols(text: str | None, lookup: np.ndarray) -> np.ndarray:
     return s
 
 
-def phrases(pieces: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+def phrases(pieces: list[np.ndarray], table: np.ndarray | Steps) -> np.ndarray:
     """The number of phrases of each piece; pieces in order of falling length."""
+    return counted(*side_by_side(pieces), table)
+
+
+def side_by_side(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces as columns, and how many pieces are longer than t."""
     lengths = np.array([len(p) for p in pieces])
     lanes = np.zeros((int(lengths[0]), len(pieces)), np.int32)
     for i, p in enumerate(pieces):
         lanes[: len(p), i] = p
-    flat, width = table.ravel(), table.shape[1]
-    start = table[0]
-    count, state = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int32)
-    # How many pieces are longer than t.
-    alive = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+    return lanes, np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+
+
+def counted(lanes: np.ndarray, alive: np.ndarray, table: np.ndarray | Steps) -> np.ndarray:
+    if isinstance(table, Steps):
+        width, start, after = np.int64(table.width), table.start(), table.after
+    else:
+        width, start, after = np.int64(table.shape[1]), table[0], table.ravel().__getitem__
+    count, state = np.zeros(lanes.shape[1], np.int32), np.zeros(lanes.shape[1], np.int32)
     for t, n in enumerate(alive):
         c, at = lanes[t, :n], state[:n]
-        to = flat[at * width + c]
+        to = after(at * width + c)
         # A phrase begins at the start, after a symbol that the language lacks, and where there is no step.
         ends = np.flatnonzero(to < 0)
         count[:n] += (to < 0) | (at == 0)
@@ -114,7 +169,7 @@ def phrases(pieces: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     return count
 
 
-def predicted(texts: list[str | None], parser: Parser, lookup: np.ndarray) -> tuple[list[str], list[float]]:
+def predicted(texts: list[str | None], parser: Parser, lookup: np.ndarray, tables: list[np.ndarray | Steps]) -> tuple[list[str], list[float]]:
     found = [symbols(t, lookup) for t in texts]
     pieces, owner = [], []
     for i, s in enumerate(found):
@@ -128,10 +183,13 @@ def predicted(texts: list[str | None], parser: Parser, lookup: np.ndarray) -> tu
     order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
     pieces, owners = [pieces[i] for i in order], np.array([owner[i] for i in order])
     counts = np.zeros((len(parser.languages), len(texts)))
-    for a, table in enumerate(parser.tables):
-        # So many lanes at a time that their states stay in the cache.
-        for at in range(0, len(pieces), 4096):
-            np.add.at(counts[a], owners[at : at + 4096], phrases(pieces[at : at + 4096], table))
+    # So many lanes at a time that their states stay in the cache.
+    for at in range(0, len(pieces), 4096):
+        lanes, alive = side_by_side(pieces[at : at + 4096])
+        for a, (own, table) in enumerate(zip(parser.own, tables)):
+            place = np.zeros(2 + len(parser.letters), np.int32)
+            place[own] = np.arange(1, 1 + len(own))
+            np.add.at(counts[a], owners[at : at + 4096], counted(place[lanes], alive, table))
     for i in np.unique(owners):
         rate = counts[:, i] / len(found[i])
         best = int(rate.argmin())
@@ -141,34 +199,32 @@ def predicted(texts: list[str | None], parser: Parser, lookup: np.ndarray) -> tu
     return names, scores
 
 
-def train(docs: DataFrame, rows: int = 100, longest: int = 5000, size: int = 40_000, letters: int = 80, most: int = 256) -> Parser:
-    """Learned from a bounded sample of whole documents with crc32(doc_id) mod 5 <> 0.
+def train(docs: DataFrame, rows: int = 100, longest: int = 5000, size: int = 40_000) -> Parser:
+    """Learned from a bounded sample of documents with crc32(doc_id) mod 5 <> 0.
 
-    Of each of the ``most`` commonest languages, about ``rows`` documents of at most ``longest`` characters are drawn by a
-    hash of the id, and of these as many as fit into ``size`` symbols; the alphabet is their ``letters`` commonest letters.
+    Of each language, about ``rows`` documents are drawn by a hash of the id, of each its first ``longest`` characters from
+    the first letter on, and of these as many as fit into ``size`` symbols; the alphabet is all letters of the sample.
     """
-    known = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", 5) != 0)).filter(F.length("text").between(1, longest))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()
-    if not counts:
-        return Parser([], [], [])
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], rows / r["n"])])
+    known = docs.select("lang", "doc_id", "text").filter(F.col("lang").isNotNull() & (fold("doc_id", 5) != 0)).filter(F.col("text").rlike(r"\p{L}"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    piece = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, longest).alias("text")
+    sample = known.join(F.broadcast(counts), "lang").filter(draw < rows / F.col("n")).select("lang", "doc_id", piece).collect()
     texts: dict[str, list[str]] = {}
-    sample = known.filter(draw < F.try_element_at(share, F.col("lang"))).select("lang", "doc_id", "text").collect()
     for r in sorted(sample, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
-    points = [code_points(t) for v in texts.values() for t in v]
-    values, n = np.unique(np.concatenate(points), return_counts=True) if points else (np.zeros(0, np.uint32), np.zeros(0))
-    alphabet = [int(v) for v in values[np.argsort(-n, kind="stable")] if chr(v).isalpha()][:letters]
-    parser = Parser(alphabet, sorted(texts), [])
+    values = sorted({c for v in texts.values() for t in v for c in t.lower() if c.isalpha()})
+    parser = Parser(np.array([ord(c) for c in values], np.int64), sorted(texts), [], [])
     lookup = parser.lookup()
     for lang in parser.languages:
         joined, free = [], size
         for s in (symbols(t, lookup) for t in texts[lang]):
             if len(s) < free:
-                joined += [s, np.array([BLANK], np.uint8)]
+                joined += [s, np.array([BLANK], np.int32)]
                 free -= len(s) + 1
-        parser.tables.append(automaton(np.concatenate(joined or [np.zeros(0, np.uint8)]), len(alphabet) + 2))
+        own, text = np.unique(np.concatenate(joined or [np.array([BLANK], np.int32)]), return_inverse=True)
+        parser.own.append(own)
+        parser.steps.append(Steps.of(suffixes(text + 1), len(own) + 1))
     return parser
 
 
@@ -177,9 +233,9 @@ def identify(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = shared.value.lookup()
+        lookup, tables = shared.value.lookup(), shared.value.tables()
         for batch in batches:
-            names, scores = predicted(batch["text"].to_pylist(), shared.value, lookup)
+            names, scores = predicted(batch["text"].to_pylist(), shared.value, lookup, tables)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = map_arrow(docs.select("doc_id", "text"), add, "doc_id long, lang_pred string, score double")

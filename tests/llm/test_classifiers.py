@@ -126,3 +126,26 @@ def test_languages_odd(spark):
     assert {r.lang_pred for r in rows if r.doc_id in (2, 3, 4)} == {"und"} and all(r.score == 0 for r in rows if r.lang_pred == "und")
     assert langid.identify(empty(spark)).collect() == []
     assert [r.lang_pred for r in langid.identify(docs(spark, [(1, "some text", None), (2, "123")])).collect()] == ["und", "und"]
+
+
+def test_many_languages_and_letters(spark):
+    """300 languages of 12 letters each, of which some overlap; every third has only documents of over 5,000 characters."""
+    rng = random.Random(8)
+    letters = [chr(c) for start in (0x61, 0x3B1, 0x430, 0x5D0, 0x915, 0x4E00) for c in range(start, start + (2500 if start == 0x4E00 else 24)) if chr(c).isalpha()]
+    rows = []
+    for k in range(300):
+        own = letters[8 * k : 8 * k + 12]
+        for n in range(4):
+            words = ["".join(rng.choice(own) for _ in range(rng.randint(2, 6))) for _ in range(1400 if k % 3 == 0 else 40)]
+            rows.append((4 * k + n, " ".join(words), f"lang{k:03d}"))
+    assert all(len(t) > 5000 for _, t, lang in rows if int(lang[4:]) % 3 == 0)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, rows)).collect()}
+    learned = {lang for i, _, lang in rows if fold(i, 5)}
+    assert len(learned) == 300 and all(got[i] == lang for i, _, lang in rows)
+
+
+def test_lists_of_steps_are_like_tables():
+    rng = np.random.default_rng(4)
+    steps = langid.Steps.of(langid.suffixes(rng.integers(1, 9, 500)), 9)
+    pieces = [rng.integers(0, 9, n).astype(np.int32) for n in (300, 40, 40, 1)]
+    assert list(langid.phrases(pieces, steps)) == list(langid.phrases(pieces, steps.table()))

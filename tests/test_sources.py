@@ -49,6 +49,15 @@ def test_multi_files(spark):
     assert {(r.handler, r.name, tuple(p.rsplit("/", 1)[1] for p in r.paths)) for r in found} == {("multi-sevenzip", "a.7z", ("a.7z.001", "a.7z.002")), ("multi-par2", "x", ("x.par2", "x.vol0+1.par2")), ("multi-gzip", "g.gz", ("g.gz.aa",))}
 
 
+def test_par2_with_large_packets(spark):
+    """A recovery packet holds a whole block, which may be larger than any prefix."""
+    body = b"p" * 32 + bytes(range(256)) * 12_000
+    packet = b"PAR2\0PKT" + (32 + len(body)).to_bytes(8, "little") + hashlib.md5(body).digest() + body
+    small = b"PAR2\0PKT" + (64).to_bytes(8, "little") + hashlib.md5(b"p" * 32).digest() + b"p" * 32
+    rows = [("/d/x.par2", small + b"more"), ("/d/x.vol0+1.par2", packet + small), ("/d/y.par2", small), ("/d/y.vol0+1.par2", packet[:-1]), ("/d/z.par2", small), ("/d/z.vol0+1.par2", packet[:-1] + b"x"), ("/d/s.par2", small), ("/d/s.vol.par2", b""), ("/d/s.vol0+1.par2", small[:40])]
+    assert [(r.handler, r.name, len(r.paths)) for r in multi_files(parts(spark, rows)).collect()] == [("multi-par2", "x", 2)]
+
+
 def test_collisions(spark):
     sets = spark.createDataFrame([(["a", "b"],), (["b", "c"],)], "paths array<string>")
     assert [(r.path, r.sets) for r in source.collisions(sets).collect()] == [("b", 2)]

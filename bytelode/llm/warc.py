@@ -5,8 +5,9 @@ The writer gives each page a record in a gzip member of its own, many to an arch
 Of records with equal payloads the one with the largest page_id is the response; the others are revisits that refer
 to it and carry no payload.
 
-The reader takes archives from such a table or from files (``binaryFile``), compressed by member or plain.  A record
-counts only if its version line, header, length, block digest and, for compressed ones, the member's checksum hold.
+The reader takes archives from such a table or from files (``binaryFile``), compressed by member, as one stream, or plain.  A
+record counts only if its version line, header, length, SHA-1 digests if it has any and, for compressed ones, the member's
+checksum hold.  A block that is not HTTP is its payload as a whole.  Records of one member all have the member's place.
 After a failed check it searches for the next place at which a valid member or version line starts, goes on from
 there, and logs the bytes between as a quarantined gap.
 
@@ -43,6 +44,24 @@ def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode("ascii")
 
 
+def differs(said: str, data: bytes) -> bool:
+    """Whether a digest is a SHA-1, in base 32 or hexadecimal digits, of something else; others are not compared."""
+    kind, _, value = said.partition(":")
+    if kind.strip().lower() != "sha1":
+        return False
+    value = value.strip()
+    return value.lower() != hashlib.sha1(data).hexdigest() if len(value) == 40 else value.upper() != sha1(data)
+
+
+def payload_of(fields: dict) -> tuple[bytes, bytes]:
+    """(HTTP header, payload) of a record's block; a block of anything but HTTP is its payload."""
+    block, kind = fields["block"], fields.get("content-type", "").lower()
+    if not (kind.startswith("application/http") or not kind and block.startswith(b"HTTP/")):
+        return b"", block
+    http, _, payload = block.partition(b"\r\n\r\n")
+    return http, payload
+
+
 def record_id(page: int | None) -> str:
     return f"<urn:bytelode:page:{'' if page is None else page}>"
 
@@ -144,8 +163,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
     if data[end : end + 4] != b"\r\n\r\n":
         return "record end"
     block = data[start:end]
-    said = fields.get("warc-block-digest", "")
-    if said.startswith("sha1:") and said[5:] != sha1(block):
+    if differs(fields.get("warc-block-digest", ""), block):
         return "block digest"
     return fields | {"block": block}, end + 4
 
@@ -154,22 +172,20 @@ def as_row(archive: str, start: int, stop: int, fields: dict) -> tuple | str:
     kind = fields.get("warc-type")
     row = {"archive": archive, "start": start, "stop": stop, "kind": "record", "record_type": kind, "page_id": page_of(fields.get("warc-record-id")), "uri": fields.get("warc-target-uri"), "refers_to": page_of(fields.get("warc-refers-to"))}
     if kind in ("response", "revisit"):
-        http, _, payload = fields["block"].partition(b"\r\n\r\n")
-        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+        http, payload = payload_of(fields)
+        said = fields.get("warc-payload-digest", "")
         if kind == "response":
-            if digest != sha1(payload):
+            if differs(said, payload):
                 return "payload digest"
             row |= {"payload": payload, "payload_bytes": len(payload)}
         elif size := re.search(rb"\r\nContent-Length: (\d+)", http):
             row["payload_bytes"] = int(size[1])
-        row["payload_digest"] = digest
+        row["payload_digest"] = said.removeprefix("sha1:") or None
     return tuple(row.get(n) for n in NAMES)
 
 
-def one(content: bytes, at: int, packed: bool) -> tuple[dict, int] | str:
-    """The record whose member or version line starts at ``at``, checked."""
-    if not packed:
-        return parse_record(content, at)
+def unpacked(content: bytes, at: int) -> tuple[bytes, int] | str:
+    """(data, end) of the gzip member that starts at ``at``, checked."""
     inflate = zlib.decompressobj(31)
     pieces = []
     try:
@@ -181,30 +197,47 @@ def one(content: bytes, at: int, packed: bool) -> tuple[dict, int] | str:
         return f"member: {e}"
     if not inflate.eof:
         return "member cut off"
-    found = parse_record(data := b"".join(pieces))
+    return b"".join(pieces), min(pos, len(content)) - len(inflate.unused_data)
+
+
+STARTS = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r?\n")
+VERSIONS = re.compile(rb"WARC/\d+\.\d+\r?\n")
+
+
+def gap(archive: str, start: int, stop: int, reason: str) -> tuple:
+    return tuple({"archive": archive, "start": start, "stop": stop, "kind": "gap", "reason": reason}.get(n) for n in NAMES)
+
+
+def member_rows(archive: str, content: bytes, at: int) -> tuple[list[tuple], int] | str:
+    """(rows, end) of the member that starts at ``at``: all its valid records, and its gaps, each with the member's place;
+    or what is wrong, if it has no valid record."""
+    found = unpacked(content, at)
     if isinstance(found, str):
         return found
-    if found[1] != len(data):
-        return "member holds more"
-    return found[0], min(pos, len(content)) - len(inflate.unused_data)
+    data, end = found
+    rows = [(archive, at, end, *row[3:]) for row in walked(archive, data, VERSIONS)]
+    if any(row[3] == "record" for row in rows):
+        return rows, end
+    return rows[0][4] if rows else "empty member"
 
 
-def salvage(archive: str, content: bytes) -> Iterator[tuple]:
-    """Rows of RECORDS: kind record, and kind gap for bytes that no valid record covers."""
-    starts = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r?\n")
+def walked(archive: str, content: bytes, starts: re.Pattern) -> Iterator[tuple]:
     at, bad, reason = 0, None, ""
     while at < len(content):
         if found := starts.match(content, at):
-            got = one(content, at, found[0][:1] == b"\x1f")
-            row = got if isinstance(got, str) else as_row(archive, at, got[1], got[0])
-            if not isinstance(row, str):
+            if found[0][:1] == b"\x1f":
+                got = member_rows(archive, content, at)
+            elif not isinstance(got := parse_record(content, at), str):
+                row = as_row(archive, at, got[1], got[0])
+                got = row if isinstance(row, str) else ([row], got[1])
+            if not isinstance(got, str):
                 if bad is not None:
-                    yield tuple({"archive": archive, "start": bad, "stop": at, "kind": "gap", "reason": reason}.get(n) for n in NAMES)
+                    yield gap(archive, bad, at, reason)
                     bad = None
-                yield row
+                yield from got[0]
                 at = got[1]
                 continue
-            why = row
+            why = got
         else:
             why = "no record starts here"
         if bad is None:
@@ -212,7 +245,12 @@ def salvage(archive: str, content: bytes) -> Iterator[tuple]:
         after = starts.search(content, at + 1)
         at = after.start() if after else len(content)
     if bad is not None:
-        yield tuple({"archive": archive, "start": bad, "stop": len(content), "kind": "gap", "reason": reason}.get(n) for n in NAMES)
+        yield gap(archive, bad, len(content), reason)
+
+
+def salvage(archive: str, content: bytes) -> Iterator[tuple]:
+    """Rows of RECORDS: kind record, and kind gap for bytes that no valid record covers."""
+    return walked(archive, content, STARTS)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:

@@ -182,3 +182,27 @@ def test_wrapped_licenses(prefix):
         for name, template in licenses.TEMPLATES:
             text = "\n".join(prefix + line for line in ["Heading", "", *textwrap.wrap(template, width, break_on_hyphens=False), "", "more", "words"])
             assert [(r[2], r[4]) for r in licenses.scan_text(text)] == [(name, 0)], text
+
+
+def foreign(kind, block, *lines):
+    head = ["WARC/1.0", "WARC-Type: response", "WARC-Record-ID: <urn:uuid:1>", f"Content-Type: {kind}", f"Content-Length: {len(block)}", *lines]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_archives():
+    """Digests are optional and may be of other kinds, blocks need not be HTTP, and a member may hold many records."""
+    http, dns = b"HTTP/1.1 200 OK\r\n\r\nbody", b"20240101000000\nexample.org. 300 IN A 192.0.2.1\n"
+    hexed = hashlib.sha1(b"body").hexdigest()
+    sound = [
+        foreign("application/http;msgtype=response", http), foreign("application/http", http, "WARC-Payload-Digest: md5:0123"), foreign("application/http", http, f"WARC-Payload-Digest: sha1:{hexed}", f"WARC-Block-Digest: SHA1:{hashlib.sha1(http).hexdigest().upper()}"),
+        foreign("text/dns", dns, f"WARC-Payload-Digest: sha1:{warc.sha1(dns)}"), foreign("text/plain", b"a\r\n\r\nb", f"WARC-Payload-Digest: sha1:{warc.sha1(b'a' + b'\r\n\r\n' + b'b')}"),
+    ]
+    payloads = [b"body"] * 3 + [dns, b"a\r\n\r\nb"]
+    at = warc.NAMES.index("payload")
+    bad = foreign("application/http", http, f"WARC-Payload-Digest: sha1:{warc.sha1(b'other')}")
+    for data in (b"".join(sound), b"".join(map(warc.member, sound)), warc.member(b"".join(sound))):
+        rows = list(warc.salvage("a", data))
+        assert [(r[3], r[at]) for r in rows] == [("record", p) for p in payloads] and rows[-1][2] == len(data)
+    mixed = warc.member(b"".join([sound[0], bad, *sound[1:]]))
+    assert [(r[3], r[4], r[1], r[2]) for r in warc.salvage("a", mixed)] == [("record", None, 0, len(mixed)), ("gap", "payload digest", 0, len(mixed))] + [("record", None, 0, len(mixed))] * 4
+    assert [r[3] for r in warc.salvage("a", warc.member(bad) + warc.member(sound[0]) + warc.member(b""))] == ["gap", "record", "gap"]

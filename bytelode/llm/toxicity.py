@@ -1,8 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A document's terms are its distinct words, lower-cased and without marks at their ends, and the words' first letters
-(4 and 5 of them), hashed into buckets.  Buckets that tell the labels apart in the training sample are kept; over
-these, a second-order factorization machine is fitted: linear weights, and a vector for each term whose inner products
+(4 and 5 of them), hashed into buckets.  Over all buckets that the training sample has, a second-order factorization machine is fitted: linear weights, and a vector for each term whose inner products
 weigh pairs of terms.
 
 Defined cases: null and empty texts have no terms and get the score of the bias; without labels of both kinds every
@@ -36,7 +35,7 @@ def terms(word: str) -> tuple[int, ...]:
 
 
 class Terms(dict):
-    """word: its terms, or with ``kept`` the places of those that are kept.  Emptied when it grows large."""
+    """word: its terms, or with ``kept`` the places of those that the machine knows.  Emptied when it grows large."""
 
     def __init__(self, kept: dict[int, int] | None = None):
         super().__init__()
@@ -68,39 +67,86 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], keep: int = 1024, rank: int = 4, steps: int = 150, decay: float = 1e-4, seed: int = 11) -> Machine:
-    """rows: (term buckets, label)."""
+def summed(values: np.ndarray, at: np.ndarray, starts: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """For each stretch of ``at`` that begins at one of ``starts``, the sum of the rows of ``values`` that it names."""
+    out = np.empty((len(starts), values.shape[1]), values.dtype)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + block)))
+        stop = starts[last] if last < len(starts) else len(at)
+        out[first:last] = np.add.reduceat(values[at[starts[first] : stop]], starts[first:last] - starts[first], axis=0)
+        first = last
+    return out
+
+
+def fit(rows: list[tuple[np.ndarray, int]], rank: int = 4, steps: int = 150, seed: int = 11) -> Machine:
+    """rows: (term buckets, label).
+
+    All terms of the rows are fitted together.  A term's weight costs as much as one row, half a
+    row of each label, can pull, its vector's length twice that, so that what single rows have does not pay; accelerated proximal
+    gradients find them.  Terms that end with neither weight nor vector change no score and are left out.
+    """
     y = np.array([label for _, label in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return Machine({}, 0.0, np.zeros(0), np.zeros((0, rank)))
-    count, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for at, label in rows:
-        count[at] += 1
-        toxic[at] += label
-    # Terms by how far their share of toxic documents is from the whole's, in standard errors.
+    lengths = np.array([len(at) for at, _ in rows])
+    chosen, cols = np.unique(np.concatenate([at for at, _ in rows]), return_inverse=True)
+    if not len(chosen):
+        return Machine({0: 0}, 0.0, np.zeros(1), np.zeros((1, rank)))
+    # Rows that have terms, where their terms begin in cols, and the same the other way round: the rows of each term.
+    full = np.flatnonzero(lengths)
+    begins = (np.cumsum(lengths) - lengths)[full]
+    cols = cols.astype(np.int32)
+    by_term = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)[np.argsort(cols, kind="stable")]
+    term_begins = np.searchsorted(np.sort(cols), np.arange(len(chosen)))
+
+    def of_rows(values: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), values.shape[1]))
+        out[full] = summed(values.astype(np.float32), cols, begins)
+        return out
+
+    def of_terms(values: np.ndarray) -> np.ndarray:
+        return summed(values.astype(np.float32), by_term, term_begins).astype(np.float64)
+
     share = y.mean()
-    z = np.where(count >= 2, np.abs(toxic - share * count) / np.sqrt(share * (1 - share) * np.maximum(count, 1)), 0.0)
-    chosen = np.sort(np.argsort(-z, kind="stable")[:keep])
-    place = np.full(BUCKETS, -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for r, (at, _) in enumerate(rows):
-        x[r, (found := place[at])[found >= 0]] = 1
     rng = np.random.default_rng(seed)
-    b, w, v = np.array([np.log(share / (1 - share))]), np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), rank))
-    parts, moments = [b, w, v], [[np.zeros_like(p), np.zeros_like(p)] for p in (b, w, v)]
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    for t in range(1, steps + 1):
-        xv = x @ v.astype(np.float32)
-        s = b + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v**2).sum(1))
+    mean = of_terms(weight[:, None])[:, 0]
+    # The largest curvature of the weights, with terms taken from their means: what bounds a step.
+    u = rng.normal(size=(len(chosen), 1))
+    for _ in range(12):
+        u /= np.linalg.norm(u)
+        q = (of_rows(u) - mean @ u) * weight[:, None] / 4
+        last, u = u, of_terms(q) - mean[:, None] * q.sum()
+    step = 1 / (1.2 * float((last * u).sum()) + 1e-4)
+    cost = step * 0.25 * (1 / share + 1 / (1 - share)) / len(y)
+    now = [np.zeros(1), np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), rank))]
+    before, best, t = [p.copy() for p in now], np.inf, 0
+    for _ in range(steps):
+        t += 1
+        b, w, v = (p + (t - 1) / (t + 2) * (p - old) for p, old in zip(now, before))
+        sums = of_rows(np.column_stack([w, v, (v * v).sum(1)]))
+        xv = sums[:, 1:-1]
+        s = b + sums[:, 0] - mean @ w + 0.5 * ((xv**2).sum(1) - sums[:, -1])
+        loss = float((weight * np.logaddexp(0, np.where(y == 1, -s, s))).sum()) + cost / step * float(np.abs(w).sum() + 2 * np.sqrt((v * v).sum(1)).sum())
+        if not loss <= best * 1.02:
+            # Too far: back to the last place, without momentum, in shorter steps; vectors bend more as they grow.
+            now, step, cost, t, best = before, step / 2, cost / 2, 0, np.inf
+            before = [p.copy() for p in now]
+            continue
+        best = loss
         g = (1.0 / (1.0 + np.exp(-np.clip(s, -30, 30))) - y) * weight
-        xg = (g.astype(np.float32) @ x).astype(np.float64)
-        grads = [np.array([g.sum()]), xg + decay * w, x.T @ (g[:, None] * xv) - xg[:, None] * v + decay * v]
-        for p, (m1, m2), d in zip(parts, moments, grads):
-            m1 += 0.1 * (d - m1)
-            m2 += 0.001 * (d * d - m2)
-            p -= 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
-    return Machine({int(c): i for i, c in enumerate(chosen)}, float(b[0]), w, v)
+        back = of_terms(np.column_stack([g, g[:, None] * xv]))
+        w = w - step * (back[:, 0] - mean * g.sum())
+        v = v - step * (back[:, 1:] - back[:, :1] * v)
+        size = np.sqrt((v * v).sum(1, keepdims=True))
+        w = np.sign(w) * np.maximum(np.abs(w) - cost, 0)
+        v = v * np.maximum(1 - 2 * cost / np.maximum(size, 1e-12), 0)
+        before, now = now, [b - 2 * g.sum(), w, v]
+    b, w, v = now
+    used = np.flatnonzero((w != 0) | v.any(1))
+    used = used if len(used) else np.arange(1)
+    return Machine({int(chosen[c]): i for i, c in enumerate(used)}, float(b[0] - mean @ w), w[used], v[used])
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = 12_000) -> Machine:

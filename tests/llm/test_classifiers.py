@@ -149,3 +149,18 @@ def test_lists_of_steps_are_like_tables():
     steps = langid.Steps.of(langid.suffixes(rng.integers(1, 9, 500)), 9)
     pieces = [rng.integers(0, 9, n).astype(np.int32) for n in (300, 40, 40, 1)]
     assert list(langid.phrases(pieces, steps)) == list(langid.phrases(pieces, steps.table()))
+
+
+def test_machine_keeps_terms_that_say_nothing_alone():
+    """A group is as common in toxic as in clean rows, and turns what an insult means; 2,000 chance terms fit the labels better alone."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(800):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        toxic = int(insult == group)
+        words = [f"chance{toxic}{rng.randrange(1000)}" for _ in range(12)] * (rng.random() < 0.5) + ["zzinsult"] * insult + ["qqgroup"] * group
+        rows.append((np.sort(np.array(toxicity.Terms().of(" ".join(words)), np.int32)), toxic))
+    model = toxicity.fit(rows, steps=400)
+    kept = toxicity.Terms(model.kept)
+    score = lambda t: model.score(kept.of(t))
+    assert min(score("zzinsult qqgroup"), score("nothing")) > 0.5 > max(score("zzinsult"), score("qqgroup"))

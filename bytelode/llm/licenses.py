@@ -2,13 +2,16 @@
 
 Texts with words of licenses are candidates.  Every template is compared with such a text by wording, whatever its line
 breaks: the template's words must stand at some place in the text in order but for a small share, and its telling words
-(names, numbers, versions) must all be there, without another one in their place.  The place, lower-cased, is compressed by
-zstandard alone and with the template as a raw dictionary; of places that overlap, the one with the fewest differences
-stays, then the one that gets smaller by most.  Each place that stays is a row.
-
-Defined cases: null and empty texts have no places; a text that confirms no template is not reported; of confirmed
-places that overlap the one with the fewest wording differences wins, then the larger reduction in bytes, then the name, then
-the first; repeated rows are reported each; an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are not read.
+(names, and in short forms and notices numbers) must all be there, without another one in their place.  The place,
+lower-cased, is compressed by zstandard alone and with the template as a raw dictionary.  Of places that overlap, the one for which the
+size goes down by most stays, less a word's usual size for each difference in wording: a whole text wins over its opening,
+and of two texts that share much the one whose wording is there.  Each place that stays is a row.  ``SPDX-License-Identifier``
+lines are a template with a slot: the identifiers after it are the license, whatever they are.
+
+Defined cases: null and empty texts have no places; a text that confirms no template is not reported; an opening that several
+licenses share is reported with all of their names; of equal places the one with fewer differences wins, then the name, then the
+first; texts of any length are searched as a whole; repeated rows are reported each; an empty table gives an empty result; columns
+besides ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,40 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from bytelode.llm.common import map_arrow
-
-#: (license, template).  Short forms in which licenses are named, and the opening of full texts.
-TEMPLATES: list[tuple[str, str]] = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
-    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC0-1.0", "Released under CC0 1.0 Universal."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
-]
+from bytelode.llm.license_texts import FULL, NOTICES, SHORT
+
+#: (license, template).
+TEMPLATES: list[tuple[str, str]] = [*SHORT, *NOTICES, *FULL]
+#: In these numbers are items or years, which come and go.
+LOOSE = frozenset(range(len(SHORT) + len(NOTICES), len(TEMPLATES)))
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9][\w.+-]*\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][\w.+-]*\)*)*)", re.I | re.A)
+#: Bytes that a word which differs takes, about.
+WORD_SIZE = 6
 #: Words that tell one license from another: each must match exactly.
-TELLING = frozenset("mit apache gnu lesser affero mozilla bsd isc cc cc0 by sa nc nd by-sa by-nc by-nd by-nc-sa by-nc-nd clause 2-clause 3-clause general mpl gpl lgpl agpl creative commons public domain".split())
+TELLING = frozenset("mit apache gnu lesser affero mozilla boost bsd isc cc cc0 by-sa by-nc by-nd by-nc-sa by-nc-nd clause 2-clause 3-clause general mpl gpl lgpl agpl creative commons".split())
 HINT = re.compile(r"licen[cs]|copyright|spdx|permission|redistribut|warrant|sublicens|public[\W_]+domain|creative[\W_]+commons|\bcc[\W_]?(?:by|0)|\bgnu\b|source[\W_]+code[\W_]+form", re.I)
 WORDS = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
 
@@ -66,8 +46,8 @@ def words(text: str) -> list[str]:
     return [w.lower().rstrip(".") for w in WORDS.findall(text)]
 
 
-def telling(found: list[str]) -> list[str]:
-    return [w for w in found if w in TELLING or any(c.isdigit() for c in w)]
+def telling(word: str, loose: bool) -> bool:
+    return word in TELLING or not loose and any(c.isdigit() for c in word)
 
 
 @lru_cache(maxsize=1)
@@ -89,15 +69,15 @@ def vocabulary() -> tuple[dict[str, int], np.ndarray]:
 UNIT, NEVER = 1 << 32, 1 << 52
 
 
-def aligned(template: list[str], found: list[str], most: int) -> list[tuple[int, int, int]]:
+def aligned(template: list[str], found: list[str], most: int, loose: bool) -> list[tuple[int, int, int]]:
     """(differences, first, stop) of the places in ``found``, one for each word at which one ends, that differ from the
     template in at most ``most`` words left out or added; telling words are never left out or added."""
-    out = np.array([NEVER if telling([w]) else UNIT for w in template])
+    out = np.array([NEVER if telling(w, loose) else UNIT for w in template])
     total = np.concatenate([[0], np.cumsum(out)])
     same = {w: np.array([t == w for t in template]) for w in set(template) & set(found)}
     cost, places = total.copy(), []
     for j, w in enumerate(found):
-        step = cost + (NEVER if telling([w]) else UNIT)
+        step = cost + (NEVER if telling(w, loose) else UNIT)
         if w in same:
             step[1:] = np.where(same[w], np.minimum(step[1:], cost[:-1]), step[1:])
         step[0] = -(j + 1)
@@ -122,7 +102,7 @@ def confirmed(found: list[str], slack: float) -> Iterator[tuple[int, int, int, i
         if len(starts):
             for part in np.split(starts, np.flatnonzero(np.diff(starts) > longest) + 1):
                 low, high = int(part[0]), int(ends[part[-1]])
-                for differences, first, stop in aligned(template, found[low:high], most):
+                for differences, first, stop in aligned(template, found[low:high], most, i in LOOSE):
                     yield i, differences, low + first, low + stop
 
 
@@ -133,24 +113,41 @@ def gain(text: str, template: int) -> tuple[int, int]:
     return alone - len(dictionaries()[template][2].compress(raw)), alone
 
 
+def apart(ranked: list[tuple], start: int, end: int) -> list[tuple]:
+    """Those of the rows, in their order, that overlap none before; their range is at these places."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for row in ranked:
+        span = row[start], row[end]
+        at = bisect.bisect(taken, span[:1])
+        if (not at or taken[at - 1][1] <= span[0]) and (at == len(taken) or span[1] <= taken[at][0]):
+            taken.insert(at, span)
+            out.append(row)
+    return out
+
+
 def scan_text(text: str | None, slack: float = 0.25) -> list[tuple]:
     """(start, end, license, reduction, differences) of the places, in code points; none overlaps another."""
     if not text or not HINT.search(text):
         return []
     spans = [(m.start(), m.end()) for m in WORDS.finditer(text)]
-    ranked = []
+    # Of one template the places with the fewest differences; then, of all, those that compression ranks first.
+    places: dict[int, list[tuple[int, int, int]]] = {}
     for i, d, first, stop in confirmed([text[a:b].lower().rstrip(".") for a, b in spans], slack):
-        start, end = spans[first][0], spans[stop - 1][1]
-        saved, alone = gain(text[start:end], i)
-        ranked.append((d, -saved, dictionaries()[i][0], start, end, saved / alone))
-    taken: list[tuple] = []
-    for d, _, name, start, end, reduction in sorted(ranked):
-        # A mark that ends the sentence belongs to the place.
-        end += text[end : end + 1] in (".", ":", ";")
-        at = bisect.bisect(taken, (start,))
-        if (not at or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
-            taken.insert(at, (start, end, name, reduction, d))
-    return taken
+        places.setdefault(i, []).append((d, first, stop))
+    ranked = []  # (bytes that differ less bytes saved, differences, license, start, end, reduction)
+    for i, own in places.items():
+        for d, first, stop in apart(sorted(own), 1, 2):
+            start, end = spans[first][0], spans[stop - 1][1]
+            saved, alone = gain(text[start:end], i)
+            # A mark that ends the sentence belongs to the place.
+            ranked.append((WORD_SIZE * d - saved, d, dictionaries()[i][0], start, end + (text[end : end + 1] in (".", ":", ";")), saved / alone))
+    for m in SPDX.finditer(text):
+        # The line's mark is the template, and nothing else explains it as well; it saves what is not identifiers.
+        name = m[1].rstrip(".-")
+        alone, rest = (len(zstandard.ZstdCompressor(level=3).compress(x.lower().encode())) for x in (m[0], name))
+        ranked.append((-len(m[0]), 0, name, m.start(), m.start(1) + len(name), (alone - rest) / alone))
+    return sorted((start, end, name, reduction, d) for _, d, name, start, end, reduction in apart(sorted(ranked), 3, 4))
 
 
 def scan(docs: DataFrame) -> DataFrame:

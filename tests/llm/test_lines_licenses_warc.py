@@ -8,7 +8,7 @@ import pytest
 from helpers import docs, empty, odd
 from pyspark.sql import functions as F
 
-from bytelode.llm import licenses, linededup, warc
+from bytelode.llm import license_texts, licenses, linededup, warc
 from conftest import DATA
 
 
@@ -79,7 +79,7 @@ def test_bitmaps():
         ("A license to dance is required by the city.", []),
         ("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
         ("# SPDX-License-Identifier: GPL-3.0", ["GPL-3.0"]),
-        (licenses.TEMPLATES[3][1].replace(", to ", ",\nto "), ["MIT"]),
+        (dict(license_texts.FULL)["MIT"].replace(", to ", ",\nto "), ["MIT"]),
         (None, []), ("", []),
     ],
 )
@@ -172,7 +172,7 @@ def test_several_licenses_in_a_line():
     assert [r[:3] for r in licenses.scan_text(f"{mit} {apache}")] == [(0, 31, "MIT"), (32, 79, "Apache-2.0")]
     long = f"{mit} {'word ' * 5000}{apache} {'word ' * 3000}{mit}"
     assert [(r[2], long[r[0] : r[1]]) for r in licenses.scan_text(long)] == [("MIT", mit), ("Apache-2.0", apache), ("MIT", mit)]
-    assert len(licenses.scan_text(licenses.TEMPLATES[6][1])) == 1
+    assert all(len(licenses.scan_text(template)) == 1 for _, template in licenses.TEMPLATES)
 
 
 @pytest.mark.parametrize("prefix", ["", "# ", " * "])
@@ -180,7 +180,7 @@ def test_wrapped_licenses(prefix):
     """Full texts at their usual widths, in which many lines have no word of a license."""
     for width in (30, 60, 78):
         for name, template in licenses.TEMPLATES:
-            text = "\n".join(prefix + line for line in ["Heading", "", *textwrap.wrap(template, width, break_on_hyphens=False), "", "more", "words"])
+            text = "\n".join(prefix + line for line in ["Heading", "", *textwrap.wrap(template, width, break_on_hyphens=False, break_long_words=False), "", "more", "words"])
             assert [(r[2], r[4]) for r in licenses.scan_text(text)] == [(name, 0)], text
 
 
@@ -206,3 +206,87 @@ def test_foreign_archives():
     mixed = warc.member(b"".join([sound[0], bad, *sound[1:]]))
     assert [(r[3], r[4], r[1], r[2]) for r in warc.salvage("a", mixed)] == [("record", None, 0, len(mixed)), ("gap", "payload digest", 0, len(mixed))] + [("record", None, 0, len(mixed))] * 4
     assert [r[3] for r in warc.salvage("a", warc.member(bad) + warc.member(sound[0]) + warc.member(b""))] == ["gap", "record", "gap"]
+
+
+def difference(template: list[str], found: list[str]) -> int:
+    """Words left out and added, by the longest common subsequence, step by step."""
+    row = [0] * (len(found) + 1)
+    for t in template:
+        before = row[:]
+        for j, w in enumerate(found):
+            row[j + 1] = before[j] + 1 if t == w else max(row[j], before[j + 1])
+    return len(template) + len(found) - 2 * row[-1]
+
+
+def test_licenses_against_brute_force():
+    """Every template with every run of words, without the search for likely stretches and without tables."""
+    rng = random.Random(3)
+    names = sorted({w for _, t in license_texts.SHORT for w in licenses.words(t)})
+    for _ in range(6):
+        text: list[str] = []
+        for _ in range(2):
+            template = licenses.words(rng.choice(license_texts.SHORT)[1])
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(template))
+                template[at : at + rng.randint(0, 1)] = [rng.choice([*names, "word"])][: rng.randint(0, 1)]
+            text += [rng.choice(["the", "word", "under", "license"]) for _ in range(rng.randint(0, 5))] + template
+        got = {(i, d, stop) for i, d, _, stop in licenses.confirmed(text, 0.25) if i < len(license_texts.SHORT)}
+        expected = set()
+        for i, (_, raw) in enumerate(license_texts.SHORT):
+            template = licenses.words(raw)
+            most = int(0.25 * len(template))
+            tell = [w for w in template if licenses.telling(w, False)]
+            for stop in range(1, len(text) + 1):
+                runs = [text[start:stop] for start in range(max(0, stop - len(template) - most), stop)]
+                # Between telling words, which are never left out, words are compared apart.
+                best = [sum(map(difference, pieces(template), pieces(run))) for run in runs if [w for w in run if licenses.telling(w, False)] == tell]
+                if best and min(best) <= most:
+                    expected.add((i, min(best), stop))
+        assert got == expected
+
+
+def pieces(found):
+    out = [[]]
+    for w in found:
+        out[-1].append(w)
+        if licenses.telling(w, False):
+            out.append([])
+    return out
+
+
+FULL = {"MIT": 1, "BSD-2-Clause": 3, "BSD-3-Clause": 4, "ISC": 7, "0BSD": 8, "Zlib": 9}
+
+
+@pytest.mark.parametrize("width", [60, 72, 80])
+@pytest.mark.parametrize("name", sorted(FULL))
+def test_published_texts(name, width):
+    """With a heading, a copyright line and numbers of items, as they are published."""
+    template = license_texts.FULL[FULL[name]]
+    assert template[0] == name
+    text = template[1].replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in").replace("Neither", "3. Neither").replace("copyright holder nor", "Example Institute nor")
+    text = "Copyright (c) 2019, 2021 A. Person\n\n" + "\n".join(textwrap.wrap(text, width))
+    assert [r[2] for r in licenses.scan_text(f"some words\n\n{text}\n\nmore words")] == [name]
+
+
+@pytest.mark.parametrize("name, template", license_texts.NOTICES)
+def test_notices(name, template):
+    for width in (60, 72, 80):
+        text = "\n".join(f"# {line}" for line in textwrap.wrap(template, width, break_on_hyphens=False, break_long_words=False))
+        assert [r[2] for r in licenses.scan_text(f"{text}\n\nimport os")] == [name]
+
+
+@pytest.mark.parametrize("line, name", [("// SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), ("SPDX-License-Identifier: BSD-3-Clause */", "BSD-3-Clause"), ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"), ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND LicenseRef-x", "(MIT OR Apache-2.0) AND LicenseRef-x"), ("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0.", "GPL-2.0 WITH Classpath-exception-2.0")])
+def test_identifiers(line, name):
+    assert [r[2] for r in licenses.scan_text(f"x\n{line}\ny = 1")] == [name]
+
+
+def test_openings_that_licenses_share():
+    assert [r[2] for r in licenses.scan_text(license_texts._BSD)] == ["BSD-2-Clause OR BSD-3-Clause"]
+    assert [r[2] for r in licenses.scan_text(license_texts._ISC + ".")] == ["ISC OR 0BSD"]
+
+
+def test_repeated_rows_with_licenses(spark):
+    d = docs(spark, [(1, "Licensed under CC BY 4.0.")] * 3 + [(2, "Licensed under CC BY 4.0. " * 2)])
+    for name in ("start", "stop", "license", "reduction", "differences"):
+        d = d.withColumn(name, d["doc_id"])
+    assert sorted((r.doc_id, r.start) for r in licenses.scan(d).collect()) == [(1, 0)] * 3 + [(2, 0), (2, 26)]

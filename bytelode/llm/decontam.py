@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words (lower-cased, without marks at their ends) that documents share with test items in runs of ``least`` are the
-seeds.  For each document and item with a common seed, running Karp-Rabin repeatedly finds the longest matches
+seeds.  For each document and item whose common seeds could cover enough of the item, running Karp-Rabin repeatedly finds the longest matches
 between words that no tile covers yet, and marks them as tiles, longest first, down to runs of ``least`` words.  An item
 is leaked if tiles cover a share of ``cover`` of its words, in whatever order they stand in the document.
 
@@ -9,20 +9,22 @@ The index of test items of up to ``PART`` words in all is broadcast. With more,
 fixed size picks the documents' seeds that any item may have, these meet the items' seeds by an equi-join, and tiling is
 run on the pairs that come of it.
 
-Defined cases: null and empty texts and items match nothing; an item with fewer words than ``least`` must stand in
+Defined cases: texts and items of any length are searched as a whole; null and empty texts and items match nothing; an item with fewer words than ``least`` must stand in
 the document as a whole; repeated rows get the same answer, repeated items are reported each; empty tables give
 clean documents or an empty result; the other columns of documents pass through ``decontaminate`` untouched.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,61 +111,82 @@ def tiling(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int
 
 @dataclass(frozen=True)
 class Index:
-    """Items by place, with the sorted hashes of their seeds; ``seeds`` by seed length: (hashes, first of items, items)."""
+    """Items by place, with the hashes of their seeds by position; ``seeds`` by seed length: (hashes, first of items, items, mask), an
+    item being listed with the seeds of which a document that leaks it must have one."""
 
     ids: list[int | None]
     items: list[np.ndarray]
+    hashes: list[np.ndarray]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def indexed(rows: list[tuple[int | None, str | None]], least: int) -> Index:
+def required(words: int, size: int, cover: float) -> int:
+    """So many of an item's positions at least begin a seed within a tile, if tiles of ``size`` words or more cover the share."""
+    return max(1, -(-max(1, ceil(cover * words - 1e-9)) // size))
+
+
+def decisive(hashes: np.ndarray, words: int, size: int, cover: float, common: Counter) -> set[int]:
+    """Seeds of which a leaking document has at least one: those at all positions but so many of the commonest ones."""
+    order = sorted(hashes.tolist(), key=lambda h: (common[h], h))
+    return set(order[: len(order) - required(words, size, cover) + 1])
+
+
+def indexed(rows: list[tuple[int | None, str | None]], least: int, cover: float) -> Index:
     tokens = Tokens()
     items = [tokens.of(t) for _, t in rows]
+    hashes = [rolled(item, min(least, len(item))) if len(item) else np.empty(0, U) for item in items]
+    common = Counter(h for own in hashes for h in set(own.tolist()))
     lists: dict[int, list[tuple[int, int]]] = {}
     for at, item in enumerate(items):
         if size := min(least, len(item)):
-            lists.setdefault(size, []).extend((h, at) for h in set(rolled(item, size).tolist()))
+            lists.setdefault(size, []).extend((h, at) for h in decisive(hashes[at], len(item), size, cover, common))
     seeds = {}
     for size, pairs in lists.items():
         pairs.sort()
-        hashes, first = np.unique(np.array([h for h, _ in pairs], U), return_index=True)
+        known, first = np.unique(np.array([h for h, _ in pairs], U), return_index=True)
         mask = np.zeros(1 << 16, bool)
-        mask[(hashes & U(0xFFFF)).astype(np.int64)] = True
-        seeds[size] = hashes, np.append(first, len(pairs)), np.array([at for _, at in pairs]), mask
-    return Index([i for i, _ in rows], items, seeds)
+        mask[(known & U(0xFFFF)).astype(np.int64)] = True
+        seeds[size] = known, np.append(first, len(pairs)), np.array([at for _, at in pairs]), mask
+    return Index([i for i, _ in rows], items, hashes, seeds)
+
+
+def covered(starts: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Which of so many words are in one of the stretches of ``size`` words that start there."""
+    inside = np.zeros(length + 1, np.int32)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, starts + size, -1)
+    return np.cumsum(inside)[:length] > 0
 
 
 def leaks(text: str | None, index: Index, tokens: Tokens, least: int, cover: float) -> list[dict]:
     """The items that the text leaks: item_id, coverage, tiles (item_start, doc_start, words), in words without marks."""
     doc = tokens.of(text)
-    places: dict[int, list[int]] = {}
+    near: dict[int, set[int]] = {}
+    rolls: dict[int, np.ndarray] = {}
     for size, (hashes, first, items, mask) in index.seeds.items():
-        h = rolled(doc, size)
-        near = np.flatnonzero(mask[(h & U(0xFFFF)).astype(np.int64)])
-        if len(near):
-            at = np.searchsorted(hashes, h[near])
+        h = rolls[size] = rolled(doc, size)
+        some = np.flatnonzero(mask[(h & U(0xFFFF)).astype(np.int64)])
+        if len(some):
+            at = np.searchsorted(hashes, h[some])
             at[at == len(hashes)] = 0
-            hit = hashes[at] == h[near]
-            for p, s in zip(near[hit].tolist(), at[hit].tolist()):
-                for item in items[first[s] : first[s + 1]].tolist():
-                    places.setdefault(item, []).append(p)
+            for s in set(at[hashes[at] == h[some]].tolist()):
+                near.setdefault(size, set()).update(items[first[s] : first[s + 1]].tolist())
     out = []
-    for at, starts in sorted(places.items()):
-        item = index.items[at]
-        size = min(least, len(item))
+    for size, at in sorted((size, at) for size, found in near.items() for at in found):
+        item, seeds = index.items[at], index.hashes[at]
+        # Tiles can cover no more of the item than seeds that the document has; most pairs end here.
+        if covered(np.flatnonzero(np.isin(seeds, rolls[size])), size, len(item)).sum() < cover * len(item) - 1e-9:
+            continue
         # Only words in seeds can be in tiles; 0 stands for what is between them.
-        inside = np.zeros(len(doc) + 1, np.int32)
-        np.add.at(inside, starts, 1)
-        np.add.at(inside, np.array(starts) + size, -1)
-        keep = np.cumsum(inside)[: len(doc)] > 0
+        keep = covered(np.flatnonzero(np.isin(rolls[size], seeds)), size, len(doc))
         edge = keep & ~np.concatenate([[False], keep[:-1]])
         where = np.flatnonzero(keep)
         order = np.insert(where, np.flatnonzero(edge[where]), -1)
         tiles = tiling(item, np.where(order < 0, U(0), doc[order]), size)
         coverage = sum(n for _, _, n in tiles) / len(item)
         if coverage >= cover:
-            out.append({"item_id": index.ids[at], "coverage": coverage, "tiles": [{"item_start": p, "doc_start": int(order[q]), "words": n} for p, q, n in tiles]})
-    return out
+            out.append((at, {"item_id": index.ids[at], "coverage": coverage, "tiles": [{"item_start": p, "doc_start": int(order[q]), "words": n} for p, q, n in tiles]}))
+    return [found for _, found in sorted(out, key=lambda x: x[0])]
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_start", "doc_start", "words")])))]))
@@ -175,8 +198,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, cover: flo
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
     if (benchmark.agg(F.sum(words)).first()[0] or 0) > part:
         return joined_leaks(docs, benchmark, least, cover, name)
-    rows = sorted(((r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    shared = docs.sparkSession.sparkContext.broadcast(indexed(rows, least))
+    rows = sorted(((r["item_id"], r["text"]) for r in benchmark.filter(words > 0).select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    shared = docs.sparkSession.sparkContext.broadcast(indexed(rows, least, cover))
     at = docs.columns.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,32 +214,43 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, cover: flo
 def joined_leaks(docs: DataFrame, benchmark: DataFrame, least: int, cover: float, name: str, bits: int = 26) -> DataFrame:
     """The same, for test items of any size: no table is on the driver or broadcast but a filter of ``2**bits`` bits."""
     spark = docs.sparkSession
-    schema = "key long, id long, size int, seed long"
+    schema = "key long, id long, size int, seed long, pos int"
 
     def seeds(filtered):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = Tokens()
             chosen, sizes = filtered.value if filtered else (None, range(1, least + 1))
             for batch in batches:
-                keys, ids, found, lengths = [], [], [], []
+                keys, ids, found, lengths, places = [], [], [], [], []
                 for key, i, text in zip(*(batch[c].to_pylist() for c in ("key", "id", "text"))):
                     a = tokens.of(text)
                     for size in sizes if filtered else [min(least, len(a))]:
-                        h = np.unique(rolled(a, size)) if size else np.empty(0, U)
+                        h = rolled(a, size) if size else np.empty(0, U)
                         if filtered:
+                            h = np.unique(h)
                             spot = (h >> U(64 - bits)).astype(np.int64)
                             h = h[chosen[spot >> 6] >> (spot & 63).astype(U) & U(1) == 1]
                         found.append(h.view(np.int64))
                         keys += [key] * len(h)
                         ids += [i] * len(h)
                         lengths += [size] * len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(np.concatenate(found or [np.empty(0, np.int64)]))], names=["key", "id", "size", "seed"])
+                        places += range(len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(np.concatenate(found or [np.empty(0, np.int64)])), pa.array(places, pa.int32())], names=["key", "id", "size", "seed", "pos"])
 
         return rows
 
     key = F.xxhash64("text")
-    items = benchmark.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id"), F.col("text").alias("item_text"))
-    own = materialize(map_arrow(items.select(F.col("item").alias("key"), F.col("item_id").alias("id"), F.col("item_text").alias("text")), seeds(None), schema), "item-seeds")
+    items = benchmark.select(F.xxhash64("text").alias("item"), F.col("item_id"), F.col("text").alias("item_text"))
+    # Items of one text are searched for once.  A document that leaks an item has, of the seeds at its positions, all but so many at
+    # least; so one of those at the positions that are left without so many of the commonest ones.  These alone are joined: a
+    # phrase that very many items have is among them only where an item has little else.
+    single = items.select("item_text").distinct().select(F.xxhash64("item_text").alias("key"), F.lit(None).cast("long").alias("id"), F.col("item_text").alias("text"))
+    every = materialize(map_arrow(single, seeds(None), schema), "item-seeds")
+    common = every.groupBy("seed").agg(F.count_distinct("key").alias("common"))
+    by_item = Window.partitionBy("key")
+    ranked = every.join(common, "seed").withColumn("rank", F.row_number().over(by_item.orderBy("common", "seed", "pos"))).withColumn("n", F.count("*").over(by_item))
+    need = F.greatest(F.lit(1), F.ceil(F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("size") - 1) * F.lit(cover) - 1e-9)) / F.col("size")))
+    own = materialize(ranked.filter(F.col("rank") <= F.col("n") - need + 1).select("key", "size", "seed").distinct(), "item-decisive")
     spot = F.shiftrightunsigned("seed", 64 - bits)
     # At most 2**bits / 64 rows, whatever the items' number.
     words = own.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(seed, {64 - bits}) & 63 AS INT)))").alias("b")).collect()
@@ -232,7 +266,7 @@ def joined_leaks(docs: DataFrame, benchmark: DataFrame, least: int, cover: float
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch in batches:
-            found = [leaks(t, indexed([(None, i)], least), tokens, least, cover) for t, i in zip(batch["text"].to_pylist(), batch["item_text"].to_pylist())]
+            found = [leaks(t, indexed([(None, i)], least, cover), tokens, least, cover) for t, i in zip(batch["text"].to_pylist(), batch["item_text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["key"], batch["id"], batch["item"], pa.array([f[0]["coverage"] if f else None for f in found], pa.float64()), pa.array([f[0]["tiles"] if f else None for f in found], ARROW.value_type.field("tiles").type)], names=["key", "id", "item", "coverage", "tiles"])
 
     tiled = map_arrow(opened.select("key", "id", "item", "item_text", "text"), tile, T.StructType([T.StructField(n, T.LongType()) for n in ("key", "id", "item")] + FOUND.elementType.fields[1:]))

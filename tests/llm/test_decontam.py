@@ -39,7 +39,7 @@ def test_against_brute_force():
             cut = rng.randint(1, len(item) - 1)
             doc[3:3] = item[cut:] + ["x"] + item[:cut]
         least = min(3, len(item))
-        got = decontam.leaks(" ".join(doc), decontam.indexed([(1, " ".join(item))], 3), tokens, 3, 0.0)
+        got = decontam.leaks(" ".join(doc), decontam.indexed([(1, " ".join(item))], 3, 0.0), tokens, 3, 0.0)
         covered = sum(t["words"] for g in got for t in g["tiles"])
         assert covered == brute(item, doc, least), (item, doc)
         for g in got:
@@ -73,3 +73,27 @@ def test_odd_rows(spark):
     assert decontam.decontaminate(odd(spark), bench).columns == odd(spark).columns
     assert decontam.report(empty(spark), bench).collect() == []
     assert not any(r.contaminated for r in decontam.report(odd(spark), bench.limit(0)).collect())
+
+
+def test_phrases_that_many_items_have():
+    """Items that share a stock phrase are found by what else they have; every item and document is compared for the truth."""
+    rng = random.Random(12)
+    words, stock = [f"w{i}" for i in range(60)], [f"s{i}" for i in range(9)]
+    items = [stock + [rng.choice(words) for _ in range(rng.randint(0, 25))] for _ in range(80)]
+    index = decontam.indexed([(i, " ".join(item)) for i, item in enumerate(items)], 4, 0.5)
+    tokens = decontam.Tokens()
+    listed = sum(len(found) for _, _, found, _ in index.seeds.values())
+    assert listed < sum(len(set(h.tolist())) for h in index.hashes)
+    for _ in range(40):
+        doc = [rng.choice(words) for _ in range(30)] + stock
+        for _ in range(3):
+            item = rng.choice(items)
+            cut = rng.randint(0, len(item))
+            doc += item[cut:] + item[: max(0, cut - rng.randint(0, 12))]
+        got = {f["item_id"]: f["coverage"] for f in decontam.leaks(" ".join(doc), index, tokens, 4, 0.5)}
+        expected = {}
+        for i, item in enumerate(items):
+            tiles = decontam.tiling(tokens.of(" ".join(item)), tokens.of(" ".join(doc)), 4)
+            if (share := sum(n for *_, n in tiles) / len(item)) >= 0.5:
+                expected[i] = share
+        assert got == expected

@@ -8,9 +8,10 @@ indices, pass by pass, and blocks are joined to slots by index.
 
 No block is taken more often than ``ceil(cap)`` times, so no document is either.
 
-Defined cases: a null or empty text has 0 words and takes nothing; a null source is a source of its own, last in
+Defined cases: texts of any length are counted as a whole, and cut into as many pieces as they reach; sources of equal size and weight
+reach their caps in their order; a null or empty text has 0 words and takes nothing; a null source is a source of its own, last in
 order; repeated rows count as rows of their own; an empty table gives an empty result; columns besides ``doc_id``,
-``source`` and ``text`` are not touched.  If all sizes are 0, all targets are 0.
+``source`` and ``text`` are not read, whatever their names.  If all sizes are 0, all targets are 0.
 """
 
 from __future__ import annotations
@@ -99,10 +100,15 @@ def draw(spark, sources: DataFrame, mix: Mix) -> DataFrame:
     width = max(1, total // max(4096, n))
     placed = sources.withColumn("to", F.sum("quota").over(Window.orderBy("sid"))).withColumn("from", F.col("to") - F.col("quota"))
     cells = materialize(ranges(placed, "from", "to", width, "sid"), "mix-cells")
-    slots = spark.range(total).select(F.floor(F.col("id") / mix.shard).alias("shard"), F.pmod(F.xxhash64("id", F.lit(mix.seed)), F.lit(max(1, total))).alias("u"))
+    slots = spark.range(0, total, 1, max(1, total // 2_000_000)).select(F.floor(F.col("id") / mix.shard).alias("shard"), F.pmod(F.xxhash64("id", F.lit(mix.seed)), F.lit(max(1, total))).alias("u"))
     drawn = slots.withColumn("cell", F.floor(F.col("u") / width)).join(cells, "cell").filter((F.col("u") >= F.col("from")) & (F.col("u") < F.col("to")))
     counts = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n"))
-    counts = materialize(counts.withColumn("first", F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")), "mix-counts")
+    # In two steps, so that no window holds all shards of a source: within runs of shards, then over runs.
+    counts = materialize(counts.withColumn("run", F.floor(F.col("shard") / 1024)), "mix-drawn")
+    runs = counts.groupBy("sid", "run").agg(F.sum("n").alias("of_run"))
+    runs = runs.withColumn("base", F.sum("of_run").over(Window.partitionBy("sid").orderBy("run")) - F.col("of_run")).drop("of_run")
+    within = F.sum("n").over(Window.partitionBy("sid", "run").orderBy("shard")) - F.col("n")
+    counts = materialize(counts.withColumn("within", within).join(runs, ["sid", "run"]).select("shard", "sid", "n", (F.col("base") + F.col("within")).alias("first")), "mix-counts")
     turns = (
         # A few rows stand for many slots: deal them out before they are unfolded.
         counts.join(sources.select("sid", "quota"), "sid").repartition(max(1, total // 200_000), "shard", "sid")

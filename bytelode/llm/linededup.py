@@ -7,7 +7,7 @@ too, a key that millions of documents hold fills several partitions: each partit
 holder, and what looks like a first holder at the head of a partition is settled against those few rows.  The result
 is a compressed bitmap of kept lines for each document that loses any; texts move only when bitmaps are applied.
 
-Defined cases: a null or empty text is one empty line; an empty table gives an empty result; rows that share a
+Defined cases: a null or empty text is one empty line; texts and lines of any length are taken as a whole; an empty table gives an empty result; rows that share a
 doc_id are one holder, and so are the rows with a null doc_id, which come last in order; a key that one document
 repeats stays; columns besides ``doc_id`` and ``text`` pass through ``dedup_texts`` untouched.
 """
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import free, map_arrow, materialize
+from bytelode.llm.common import free, map_arrow, materialize, with_maybe
 
 SPACE = " \t\n\v\f\r"
 FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -109,8 +109,15 @@ def keep_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with each document's bitmap, or null, as the last column."""
     ids, mark, keep = free(docs, "_id", "_mark", "_keep")
+    bitmaps = materialize(bitmaps, "line-bitmaps")
     bits = bitmaps.select(F.col("doc_id").alias(ids), F.col("mark").alias(mark), F.col("keep").alias(keep))
-    return docs.join(bits, docs["doc_id"].eqNullSafe(bits[ids]) & (F.xxhash64(docs["text"]) == bits[mark]), "left").select(*docs.columns, keep)
+    (maybe,) = free(docs, "_maybe")
+    # Documents that certainly lose nothing stay where they are.
+    marked = with_maybe(docs, bitmaps, maybe)
+    sure = marked.filter(~F.col(maybe)).select(*docs.columns, F.lit(None).cast("binary").alias(keep))
+    rest = marked.filter(F.col(maybe)).drop(maybe)
+    joined = rest.join(bits, rest["doc_id"].eqNullSafe(bits[ids]) & (F.xxhash64(rest["text"]) == bits[mark]), "left")
+    return sure.unionByName(joined.select(*docs.columns, keep))
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> tuple[str, int, int]:

@@ -14,7 +14,8 @@ there, and logs the bytes between as a quarantined gap.
 Defined cases: a null html is an empty payload; empty payloads count as equal payloads where ``least`` is 0; a null
 page_id comes before all others and is never referred to unless all copies' ids are null; repeated rows of the
 largest page_id are all responses; an empty table gives an empty archive table; a null url is an empty one; a line
-break in a url is percent-encoded.
+break in a url is percent-encoded; payloads of any length are written whole; columns besides ``page_id``, ``url`` and ``html`` are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -141,15 +142,18 @@ def write_archives(pages: DataFrame, least: int = 0, limit: int = 4 << 20, compr
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
-    """(fields, end) of the record that starts at ``at``, or what is wrong with it."""
+    """(fields, end) of the record that starts at ``at``, or what is wrong with it.  Read line by line up to the first that is
+    no header line, so that many marks without a header's end are not each searched to the end."""
     if not re.match(rb"WARC/\d+\.\d+\r?\n", data[at : at + 16]):
         return "version line"
-    head = data.find(b"\r\n\r\n", at)
-    if head < 0:
-        return "header not closed"
     fields: dict[str, str] = {}
-    for line in data[at:head].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    head = data.index(b"\n", at) - 1
+    while data[head : head + 4] != b"\r\n\r\n":
+        stop = data.find(b"\r\n", head + 2)
+        if stop < 0:
+            return "header not closed"
+        name, colon, value = data[head + 2 : stop].partition(b":")
+        head = stop
         if not colon:
             return "header line"
         try:
@@ -270,8 +274,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         out = []
                 yield batch_of(out)
 
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    return archives.select("archive", "content").mapInArrow(rows, RECORDS)
+    return map_arrow(archives.select("archive", "content"), rows, RECORDS)
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:

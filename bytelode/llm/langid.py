@@ -209,7 +209,9 @@ def train(docs: DataFrame, rows: int = 100, longest: int = 5000, size: int = 40_
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     piece = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, longest).alias("text")
-    sample = known.join(F.broadcast(counts), "lang").filter(draw < rows / F.col("n")).select("lang", "doc_id", piece).collect()
+    drawn = known.join(F.broadcast(counts), "lang").filter(draw < rows / F.col("n")).select("lang", "doc_id", piece)
+    # Rows of one id are drawn together: one text of them is enough.
+    sample = drawn.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, one machine) a temporary folder is made and set.
+    Only where none is named and all runs in one process (tests) a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='bytelode-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,12 +42,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # What the write has shuffled goes with its end: it is of no more use, and would fill disks until the driver collects garbage.
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before) if before is not None else spark.conf.unset(cleanup)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    # What the write has shuffled is of no more use.  Spark drops such files when the driver's collector finds them unused.
-    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,10 +92,15 @@ def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return sure.unionByName(marked.filter(F.col(maybe)).drop(maybe).join(ids, key, "left_anti").select(*rows.columns))
 
 
-def arrow_batches(spark: SparkSession, records: int = 2048) -> None:
-    """Bound what one Arrow batch of whole texts may hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def arrow_batches(spark: SparkSession, records: int = 2048, size: int = 16 << 20) -> None:
+    """Bound what one Arrow batch of whole texts may hold; smaller bounds that the session has stay.
+
+    The session keeps them, as batches are made when a result is read, long after this call.
+    """
+    for name, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}") or ""
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
@@ -107,11 +120,18 @@ def fold(column: str, modulus: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, limit: int) -> DataFrame:
     """(doc_id, text, label) of at most ``limit`` labelled rows outside the held-out fold, half of them of each label.
 
-    The rows that come first by a hash of their id; a document with several labels counts with the smallest.  The bound
-    makes it safe to broadcast the ids.
+    The rows that come first by a hash of their id; a document with several labels counts with the smallest, one of which
+    several rows have the id with its smallest text.  The bound makes it safe to broadcast the ids, and to collect the rows.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", modulus) != held))
     known = known.groupBy("doc_id").agg(F.min(label).alias("label"))
     order = F.xxhash64("doc_id")
     picked = [known.filter(F.col("label") == v).orderBy(order, "doc_id").limit(limit // 2) for v in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+
+
+def label_share(labels: DataFrame, label: str, modulus: int, held: int) -> float | None:
+    """The share of label 0 among the labelled documents outside the held-out fold; None without any."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", modulus) != held)).groupBy("doc_id").agg(F.min(label).alias("label"))
+    return known.agg(F.avg((F.col("label") == 0).cast("double"))).first()[0]

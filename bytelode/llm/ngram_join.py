@@ -9,7 +9,7 @@ block of the first shingle it has in common, if sizes and positions still allow
 the full sets accumulates overlaps.  Lists longer than a block are dealt over tiles.  A block returns a spanning forest of its
 links and each member's number of linked documents, so nothing that leaves it is larger than the block.
 
-Defined cases: null texts and texts without words have no shingles and no links, and are components of their own, as
+Defined cases: texts of any length are compared as a whole; null texts and texts without words have no shingles and no links, and are components of their own, as
 are rows with a null doc_id (their component_id is null); fewer words than ``n`` are one shingle; rows that share a
 doc_id are rows of their own, with equal texts linked as any copies; an empty table gives an empty result; columns
 besides ``doc_id`` and ``text`` are not read.  Shingles are compared by 64-bit hashes, sets by 128-bit ones.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import map_arrow, materialize, with_maybe, without
+from bytelode.llm.common import free, map_arrow, materialize, with_maybe, without
 
 U = np.uint64
 MIX = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)]
@@ -85,8 +85,11 @@ def fingerprint(s: np.ndarray, width: int = 16) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())[:width]
 
 
+COUNTED = ["doc_id", "mark", "n", "fp", "part", "counts"]
+
+
 def counted(join: Join):
-    """For each document (doc_id, n, fp), and at the end of a task its counters, in parts: (part, counts)."""
+    """For each document (doc_id, mark, n, fp), and at the end of a task its counters, in parts: (part, counts)."""
     parts, width = 16, (1 << join.sketch) // 16
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +105,11 @@ def counted(join: Join):
                         seen.add(fp)
                     np.add.at(counts, (s >> U(64 - join.sketch)).astype(np.int64), 1)
             nothing = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), *nothing], names=["doc_id", "n", "fp", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), *nothing], names=COUNTED)
         for p in range(parts):
             own = counts[p * width : (p + 1) * width]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([p], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["doc_id", "n", "fp", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([p], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=COUNTED)
 
     return rows
 
@@ -347,8 +350,9 @@ def verified(join: Join):
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of (a, b): alternating large and small stars until nothing changes.
 
-    Every round ends in a written table; what is looked at on the driver is a count.
+    Every round ends in a written table; what is looked at on the driver is its number of rows and sums of their hashes.
     """
+    last = None
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     while True:
         every = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -357,7 +361,9 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = materialize(small, "cc")
-        if after.count() == now.count() and after.exceptAll(now).isEmpty():
+        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        same, last = mark == last, mark
+        if same:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         now = after
 
@@ -369,11 +375,12 @@ def enough(shared: DataFrame, join: Join) -> DataFrame:
 
 
 def classes_and_links(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame]:
-    """(documents (doc_id, n, fp), links (fp, other, links)); see ``verified``."""
+    """(documents (doc_id, mark, n, fp), links (fp, other, links)); mark: a hash of the text; see ``verified``."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    first = materialize(map_arrow(texts, counted(join), "doc_id long, n long, fp binary, part int, counts binary"), "join-sets")
-    sets = first.filter(F.col("part").isNull()).select("doc_id", "n", "fp")
+    marked = texts.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    first = materialize(map_arrow(marked, counted(join), "doc_id long, mark long, n long, fp binary, part int, counts binary"), "join-sets")
+    sets = first.filter(F.col("part").isNull()).select("doc_id", "mark", "n", "fp")
     parts = first.filter(F.col("part").isNotNull()).groupBy("part").applyInPandas(summed, "part int, levels binary").collect()
     levels = np.zeros((16, (1 << join.sketch) // 16), np.uint8)
     for r in parts:
@@ -418,8 +425,8 @@ def classes_and_links(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     return sets, materialize(links, "join-links")
 
 
-def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (documents linked directly)."""
+def grouped(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """(documents (doc_id, mark, n, fp), classes (fp, component_id, n_links) of more than one document or with links)."""
     sets, links = classes_and_links(docs, join)
     labels = components(links.filter(F.col("other").isNotNull()).select(F.col("fp").alias("a"), F.col("other").alias("b")))
     near = links.filter(F.col("other").isNull()).groupBy("fp").agg(F.sum("links").alias("near"))
@@ -428,7 +435,12 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     classes = materialize(classes.join(near, "fp", "left").filter((F.col("copies") > 1) | F.col("near").isNotNull()), "join-some")
     classes = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = materialize(classes.join(lows, "root").select("fp", "component_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "join-classes")
+    return sets, materialize(classes.join(lows, "root").select("fp", "component_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "join-classes")
+
+
+def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (documents linked directly)."""
+    sets, classes = grouped(docs, join)
     alone = F.coalesce("component_id", "doc_id")
     return (
         sets.join(classes, "fp", "left")
@@ -436,11 +448,63 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     )
 
 
-def representatives(docs: DataFrame, join: Join = Join(n=5, percent=80)) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id (one row of it, if it is repeated)."""
-    found = linked(docs, join)
-    gone = materialize(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "join-gone")
-    return without(docs, gone)
+NEAR = Join(n=5, percent=80)
+
+
+def surplus(docs: DataFrame, join: Join) -> DataFrame:
+    """(doc_id, mark, one) of the rows that are not their group's representative, which is the row with the smallest doc_id, and
+    of these the smallest hash of its text; ``one``: copies of the representative's row itself, of which one stays."""
+    sets, classes = grouped(docs, join)
+    members = sets.filter(F.col("doc_id").isNotNull()).join(classes.select("fp", "component_id"), "fp").groupBy("doc_id", "mark", "component_id").agg(F.count("*").alias("rows"))
+    first = members.filter(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("mark").alias("first"))
+    chosen = (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("first"))
+    found = members.join(first, "component_id").select("doc_id", "mark", chosen.alias("one"), "rows")
+    return materialize(found.filter(~F.col("one") | (F.col("rows") > 1)).select("doc_id", "mark", "one"), "join-surplus")
+
+
+def representatives(docs: DataFrame, join: Join = NEAR) -> DataFrame:
+    """``docs`` with one row of each group.  Rows are told apart by doc_id and a hash of their text; those without an id stay."""
+    gone = surplus(docs, join)
+    (key,) = free(docs, "_row")
+    rows = docs.withColumn(key, F.xxhash64("doc_id", F.xxhash64("text")))
+    of = lambda test: gone.filter(test).select(F.xxhash64("doc_id", "mark").alias(key))
+    kept = without(rows, of(~F.col("one")), key)
+    again = of("one")
+    if not again.isEmpty():
+        (maybe,) = free(kept, "_maybe")
+        marked = with_maybe(kept, again, maybe, key)
+        copies = marked.filter(F.col(maybe)).drop(maybe)
+        some = copies.join(again, key, "left_semi").dropDuplicates([key])
+        kept = marked.filter(~F.col(maybe)).drop(maybe).unionByName(copies.join(again, key, "left_anti")).unionByName(some)
+    return kept.select(*docs.columns)
+
+
+def left_of(text: str | None, before: str | None) -> bool:
+    """Whether the text's lines are lines of what it was before, in their order."""
+    rest = iter((before or "").split("\n"))
+    return not text or all(line in rest for line in text.split("\n"))
+
+
+def without_copies(docs: DataFrame, before: DataFrame, join: Join = NEAR) -> DataFrame:
+    """``docs`` without those that were near copies of a document that stays, as they were ``before`` (doc_id, text) their repeated
+    lines went.
+
+    Documents are compared as they were; one of each group stays.  Only documents whose lines are lines of what they were can
+    go, and only those are taken as copies of each other that are in both tables.
+    """
+    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull())
+    was = with_maybe(before.select("doc_id", "text"), ids, "maybe").filter("maybe").select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    gone = surplus(was, join).filter(~F.col("one")).select("doc_id").distinct()
+    mine = with_maybe(docs.select("doc_id", "text"), gone, "maybe").filter("maybe").select("doc_id", "text").join(gone, "doc_id", "left_semi")
+    theirs = with_maybe(before.select("doc_id", F.col("text").alias("before")), gone, "maybe").filter("maybe").select("doc_id", "before")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [left_of(a, b) for a, b in zip(batch["text"].to_pylist(), batch["before"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].filter(pa.array(good, pa.bool_()))], names=["doc_id"])
+
+    sure = materialize(map_arrow(mine.join(theirs, "doc_id").select("doc_id", "text", "before"), check, "doc_id long").distinct(), "join-copies")
+    return without(docs, sure)
 
 
 SQL = r"""

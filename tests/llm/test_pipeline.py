@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from helpers import odd
@@ -5,11 +7,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bytelode.llm import decontam, linededup, ngram_join, quality, queries
-from bytelode.llm.common import table
+from bytelode.llm.common import materialize, table
 from conftest import DATA
 from test_ngram_join import brute
 
 
+WORDS = [f"word{i}" for i in range(400)]
+
+
 def test_stages_one_by_one(spark):
     docs = table(spark, DATA, "documents")
     columns = docs.columns
@@ -30,7 +35,9 @@ def test_stages_one_by_one(spark):
     assert all(r.n_chars == len(r.text or "") for r in after.collect())
     before, after = made["near_duplicates"]
     groups = brute([(r.doc_id, r.text) for r in before.collect()], 5, 80)
-    assert ids(after) == {i for i, (_, root, _) in groups.items() if root == i}
+    own = {i for i, (_, root, _) in groups.items() if root == i}
+    were = brute([(r.doc_id, r.text) for r in table(spark, DATA, "documents").collect() if r.doc_id in own], 5, 80)
+    assert ids(after) == {i for i in own if were[i][1] == i}
     before, after = made["decontamination"]
     assert ids(before) - ids(after) == {r.doc_id for r in decontam.report(before, table(spark, DATA, "benchmark")).filter("contaminated").collect()}
     before, after = made["mixing"]
@@ -63,3 +70,43 @@ def test_against_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_near_copies_go_from_end_to_end(spark, tmp_path):
+    """Near copies of many lines, of which line dedup leaves only the lines that differ."""
+    rng = random.Random(4)
+    line = lambda: " ".join(rng.choice(WORDS) for _ in range(12))
+    texts, copies = {}, {}
+    for i in range(60):
+        texts[i] = [line() for _ in range(15)]
+    for i in range(0, 60, 2):
+        near = list(texts[i])
+        near[rng.randrange(15)] = line()
+        texts[100 + i], copies[100 + i] = near, i
+    for i in range(0, 60, 6):
+        texts[200 + i], copies[200 + i] = list(texts[i]), i
+    docs = spark.createDataFrame([(i, "\n".join(t), "en", "s", 0) for i, t in texts.items()], table(spark, DATA, "documents").schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    stripped = materialize(stages["line_dedup"](spark, docs, str(tmp_path)), "stripped")
+    kept = {r.doc_id for r in stages["near_duplicates"](spark, stripped, str(tmp_path)).collect()}
+    assert kept == set(range(60))
+    # On their own, what is left of near copies is no copy of anything; documents of another table than this one stay.
+    assert len(kept & set(copies)) == 0 and ngram_join.representatives(stripped).count() > 60
+    other = docs.withColumn("text", F.concat(F.lit("quite another text "), F.col("doc_id").cast("string"), F.lit(" of its own")))
+    assert stages["near_duplicates"](spark, other, str(tmp_path)).count() == len(texts)
+
+
+def test_repeated_ids(spark):
+    """A row goes by its own text, not by its id; of a repeated representative one row stays."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text), (2, "a text of its own with some words in it"), (None, text), (3, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], table(spark, DATA, "documents").schema)
+    got = sorted((r.doc_id or 0, (r.text or "")[:6]) for r in ngram_join.representatives(docs).collect())
+    assert got == [(0, text[:6]), (1, text[:6]), (2, "a text"), (3, ""), (3, "")]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables(spark, name):
+    docs = table(spark, DATA, "documents").limit(0)
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs, DATA).count() == 0

@@ -493,7 +493,7 @@ def without_copies(docs: DataFrame, before: DataFrame, join: Join = NEAR) -> Dat
     go, and only those are taken as copies of each other that are in both tables.
     """
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull())
-    was = with_maybe(before.select("doc_id", "text"), ids, "maybe").filter("maybe").select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    was = materialize(with_maybe(before.select("doc_id", "text"), ids, "maybe").filter("maybe").select("doc_id", "text").join(ids, "doc_id", "left_semi"), "join-before")
     gone = surplus(was, join).filter(~F.col("one")).select("doc_id").distinct()
     mine = with_maybe(docs.select("doc_id", "text"), gone, "maybe").filter("maybe").select("doc_id", "text").join(gone, "doc_id", "left_semi")
     theirs = with_maybe(before.select("doc_id", F.col("text").alias("before")), gone, "maybe").filter("maybe").select("doc_id", "before")

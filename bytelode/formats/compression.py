@@ -38,7 +38,7 @@ def bzip2(r: Reader) -> int:
     return end
 
 
-@fmt("compress", COMPRESSED, "1f 9d", tool="7z")
+@fmt("compress", COMPRESSED, "1f 9d")
 def compress(r: Reader) -> int:
     flags = r.u8(2)
     most, block_mode = flags & 0x1F, bool(flags & 0x80)
@@ -93,7 +93,7 @@ def lzh(r: Reader) -> int:
     return end + 1 if end + 1 == r.left else end
 
 
-@fmt("lzip", COMPRESSED, "4C 5A 49 50 01", tool="lziprecover")
+@fmt("lzip", COMPRESSED, "4C 5A 49 50 01")
 def lzip(r: Reader) -> int:
     for at in range(6 + 20, r.left - 7):
         if r.upto(at, 2) == (at + 8).to_bytes(8, "little")[:2] and r.u64(at) == at + 8:
@@ -101,7 +101,7 @@ def lzip(r: Reader) -> int:
     raise Invalid
 
 
-@fmt("lzo", COMPRESSED, "89 4C 5A 4F 00 0D 0A 1A 0A", tool="lzop")
+@fmt("lzo", COMPRESSED, "89 4C 5A 4F 00 0D 0A 1A 0A")
 def lzo(r: Reader) -> int:
     r = r.be()
     flags, shift = r.u32(17), 0
@@ -142,7 +142,7 @@ def lzma_(r: Reader) -> int:
     return read
 
 
-@fmt("lz4_legacy", COMPRESSED, "02 21 4C 18", tool="lz4")
+@fmt("lz4_legacy", COMPRESSED, "02 21 4C 18")
 def lz4_legacy(r: Reader) -> int:
     def decoded(at: int, size: int) -> int:
         """The length that a block of raw LZ4 has when it is decoded."""
@@ -192,12 +192,12 @@ def lz4_legacy(r: Reader) -> int:
     return at
 
 
-@fmt("lz4_skippable", COMPRESSED, "5? 2A 4D 18", tool="lz4")
+@fmt("lz4_skippable", COMPRESSED, "5? 2A 4D 18")
 def lz4_skippable(r: Reader) -> int:
     return 8 + r.u32(4)
 
 
-@fmt("lz4_default", COMPRESSED, "04 22 4D 18", tool="lz4")
+@fmt("lz4_default", COMPRESSED, "04 22 4D 18")
 def lz4(r: Reader) -> int:
     flags = r.u8(4)
     need(flags >> 6 == 1)

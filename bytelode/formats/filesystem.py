@@ -238,7 +238,7 @@ def yaffs(r: Reader) -> int:
     raise Invalid
 
 
-@fmt("sparse", FILE, r"re:\x3A\xFF\x26\xED\x01\x00[\x00-\xFF]{2}\x1C\x00\x0C\x00", tool="simg2img")
+@fmt("sparse", FILE, r"re:\x3A\xFF\x26\xED\x01\x00[\x00-\xFF]{2}\x1C\x00\x0C\x00")
 def sparse(r: Reader) -> int:
     at = 28
     for _ in range(r.u32(20)):

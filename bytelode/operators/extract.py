@@ -5,9 +5,13 @@ from __future__ import annotations
 import bz2
 import io
 import lzma
+import os
 import posixpath
+import stat
 import struct
+import subprocess
 import tarfile
+import tempfile
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -90,23 +94,150 @@ def lzma_(data: bytes) -> Iterator[Entry]:
     yield Entry("lzma.uncompressed", content=inflated(lzma.LZMADecompressor(lzma.FORMAT_ALONE), data))
 
 
+def unzstd(data: bytes) -> bytes:
+    """All frames; read in steps, so that a bomb is noticed."""
+    with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as f:
+        return bounded(b"", f.read(MOST + 1))
+
+
 @extractor("zstd")
 def zstd(data: bytes) -> Iterator[Entry]:
-    yield Entry("zstd.uncompressed", content=zstandard.ZstdDecompressor().decompressobj().decompress(data))
+    yield Entry("zstd.uncompressed", content=unzstd(data))
+
+
+@extractor("lz4_default", "lz4_skippable", "lz4_legacy")
+def lz4(data: bytes) -> Iterator[Entry]:
+    """Frames one after the other, those to be skipped among them; the legacy kind has blocks of 8 MiB without an end."""
+    out, at = bytearray(), 0
+    while at + 4 <= len(data):
+        mark, at = struct.unpack_from("<I", data, at)[0], at + 4
+        if mark & 0xFFFFFFF0 == 0x184D2A50:
+            at += 4 + struct.unpack_from("<I", data, at)[0]
+        elif mark == 0x184C2102:
+            while at + 4 <= len(data) and (size := struct.unpack_from("<I", data, at)[0]) not in (0x184C2102, 0x184D2204) and at + 4 + size <= len(data):
+                out += bounded(out, codecs.lz4_block(data[at + 4 : at + 4 + size], 8 << 20))
+                at += 4 + size
+        elif mark == 0x184D2204:
+            flags, sizes = data[at], data[at + 1]
+            most, linked, start = 1 << 8 + 2 * (sizes >> 4 & 7), not flags & 0x20, len(out)
+            at += 3 + 8 * bool(flags & 8) + 4 * (flags & 1)
+            while size := struct.unpack_from("<I", data, at)[0]:
+                body = data[at + 4 : at + 4 + (size & 0x7FFFFFFF)]
+                out += bounded(out, body if size >> 31 else codecs.lz4_block(body, most, bytes(out[max(start, len(out) - 65536) :]) if linked else b""))
+                at += 4 + len(body) + 4 * bool(flags & 0x10)
+            at += 4 + 4 * bool(flags & 4)
+        else:
+            break
+    yield Entry("lz4.uncompressed", content=bytes(out))
+
+
+def bounded(before: bytes | bytearray, piece: bytes) -> bytes:
+    if len(before) + len(piece) > MOST:
+        raise TooLarge("the content is larger than a row may hold")
+    return piece
+
+
+@extractor("lzip")
+def lzip(data: bytes) -> Iterator[Entry]:
+    """The stream is as in the older kind of file, whose header is made from the dictionary's size: a power of two, less sixteenths of it."""
+    size = 1 << (data[5] & 31)
+    size -= size // 16 * (data[5] >> 5)
+    head = b"\x5d" + size.to_bytes(4, "little") + b"\xff" * 8
+    yield Entry("lzip.uncompressed", content=inflated(lzma.LZMADecompressor(lzma.FORMAT_ALONE), head + data[6:-20]))
+
+
+@extractor("compress")
+def compress(data: bytes) -> Iterator[Entry]:
+    yield Entry("compress.uncompressed", content=bounded(b"", codecs.lzw(data[3:], data[2] & 31, bool(data[2] & 0x80))))
+
+
+@extractor("lzo")
+def lzo(data: bytes) -> Iterator[Entry]:
+    """Blocks of (size, packed size, checksums, bytes); which checksums there are is in the flags."""
+    version = struct.unpack_from(">H", data, 9)[0]
+    at = 9 + 6 + 1 + (version >= 0x940)
+    flags = struct.unpack_from(">I", data, at)[0]
+    at += 4 + 4 * bool(flags & 0x800) + 4 + 4 + 4 * (version >= 0x940)
+    name = data[at + 1 : at + 1 + data[at]].decode("utf-8", "replace")
+    at += 1 + data[at] + 4
+    if flags & 0x40:
+        at += 4 + struct.unpack_from(">I", data, at)[0] + 4
+    out = bytearray()
+    while size := struct.unpack_from(">I", data, at)[0]:
+        packed = struct.unpack_from(">I", data, at + 4)[0]
+        at += 8 + 4 * bool(flags & 1) + 4 * bool(flags & 0x100)
+        if packed < size:
+            at += 4 * bool(flags & 2) + 4 * bool(flags & 0x200)
+        body = data[at : at + packed]
+        out += bounded(out, codecs.lzo1x(body, size) if packed < size else body)
+        at += packed
+    yield Entry(posixpath.basename(name) or "lzo.uncompressed", content=bytes(out))
+
+
+@extractor("qnx_deflate")
+def qnx(data: bytes) -> Iterator[Entry]:
+    """Blocks with a header of four 16-bit numbers, the second its length, the last the size of what comes out."""
+    if data[14]:
+        yield Entry("", problem="blocks are packed by UCL", resolution="Not unpacked.", severity="ERROR")
+        return
+    out, at = bytearray(), 16
+    while step := struct.unpack_from("<H", data, at + 2)[0]:
+        out += bounded(out, codecs.lzo1x(data[at + 8 : at + step], 1 << 16))
+        at += step
+    yield Entry("qnx_deflate.uncompressed", content=bytes(out))
+
+
+@extractor("sparse")
+def sparse(data: bytes) -> Iterator[Entry]:
+    """Chunks of raw blocks, of a word to repeat, or of nothing."""
+    head, width, block = *struct.unpack_from("<HH", data, 8), struct.unpack_from("<I", data, 12)[0]
+    out, at = bytearray(), head
+    for _ in range(struct.unpack_from("<I", data, 20)[0]):
+        kind, _, blocks, size = struct.unpack_from("<HHII", data, at)
+        body = data[at + width : at + size]
+        if len(out) + blocks * block > MOST:
+            raise TooLarge("the content is larger than a row may hold")
+        out += body if kind == 0xCAC1 else body[:4] * (blocks * block // 4) if kind == 0xCAC2 else bytes(blocks * block) if kind == 0xCAC3 else b""
+        at += size
+    yield Entry("sparse.raw", content=bytes(out))
+
+
+@extractor("elf32", "elf64")
+def elf(data: bytes) -> Iterator[Entry]:
+    """The archive of a kernel's first files, which ends before its size at the end of the section of data for the start."""
+    order, wide = "<" if data[5] == 1 else ">", data[4] == 2
+    word, number = (8, "Q") if wide else (4, "I")
+    sections = struct.unpack_from(order + number, data, 40 if wide else 32)[0]
+    width, count, strings = struct.unpack_from(order + "HHH", data, 58 if wide else 46)
+
+    def place(i: int) -> tuple[int, int, int]:
+        at = sections + width * i
+        return struct.unpack_from(order + "I", data, at)[0], *struct.unpack_from(order + number * 2, data, at + (24 if wide else 16))
+
+    if not sections or sections + width * count > len(data) or strings >= count:
+        return
+    _, names, _ = place(strings)
+    for i in range(count):
+        name, start, size = place(i)
+        if data[names + name :].startswith(b".init.data\0") and word < size and start + size <= len(data):
+            length = struct.unpack_from(order + number, data, start + size - word)[0]
+            # The size stands at a multiple of 8, the archive before it.
+            if 0 < length <= size - word:
+                yield Entry("initramfs", content=data[start + size - word - -(-length // 8) * 8 : start + size - word])
 
 
 @extractor("qca_lzma")
 def qca_lzma(data: bytes) -> Iterator[Entry]:
     packed, size = struct.unpack_from("<II", data, 8)
     decoder = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": 1 << 20}])
-    yield Entry("qca_lzma.uncompressed", content=decoder.decompress(data[16 : 16 + packed], size))
+    yield Entry("qca_lzma.uncompressed", content=decoder.decompress(data[16 : 16 + packed], min(size, MOST)))
 
 
 @extractor("uzip")
 def uzip(data: bytes) -> Iterator[Entry]:
     block, count = struct.unpack_from(">II", data, 128)
     places = struct.unpack_from(f">{count + 1}Q", data, 136)
-    unpack = {b"#!": zlib.decompress, b"#L": lzma.decompress, b"#Z": lambda x: zstandard.ZstdDecompressor().decompressobj().decompress(x)}[data[:2]]
+    unpack = {b"#!": lambda x: inflated(zlib.decompressobj(), x), b"#L": lambda x: inflated(lzma.LZMADecompressor(), x), b"#Z": unzstd}[data[:2]]
     yield Entry("uzip.uncompressed", content=b"".join(unpack(data[a:b]) if b > a else b"\0" * block for a, b in zip(places, places[1:])))
 
 
@@ -480,6 +611,53 @@ def minix(data: bytes) -> Iterator[Entry]:
     yield from walk(1, "", frozenset({1}))
 
 
+#: Programs that unpack a file into a folder; {file}, {folder}.  What one writes to its output alone is a file's name after ">".
+COMMANDS: dict[str, tuple[str, ...]] = {
+    "7z": ("7z", "x", "-p", "-y", "{file}", "-o{folder}"), "unar": ("unar", "-no-directory", "-p", "", "{file}", "-o", "{folder}"), "debugfs": ("debugfs", "-R", "rdump / {folder}", "{file}"), "jefferson": ("jefferson", "-v", "-f", "-d", "{folder}", "{file}"),
+    "sasquatch": ("sasquatch", "-no-exit-code", "-f", "-d", "{folder}", "{file}"), "ubireader_extract_images": ("ubireader_extract_images", "{file}", "-o", "{folder}"), "ubireader_extract_files": ("ubireader_extract_files", "{file}", "-w", "-o", "{folder}"),
+    "fsck.erofs": ("fsck.erofs", "--no-preserve", "--extract={folder}", "{file}"), "partclone.restore": ("partclone.restore", "-W", "-s", "{file}", "-o", "{folder}/partclone.image", "-L", "/dev/stdout"),
+}
+TIMEOUT = 12 * 3600.0
+
+
+def command(data: bytes, tool: str, timeout: float = TIMEOUT) -> Iterator[Entry]:
+    """What a program unpacks, in a folder of the task's own that goes with it.  A program that is missing, fails or takes too long is an
+    entry with an error, after what it had unpacked by then."""
+    with tempfile.TemporaryDirectory(prefix="bytelode-") as top:
+        file, folder = os.path.join(top, "in"), os.path.join(top, "out")
+        os.mkdir(folder)
+        with open(file, "wb") as f:
+            f.write(data)
+        wrong = None
+        try:
+            run = subprocess.run([a.format(file=file, folder=folder) for a in COMMANDS[tool]], stdin=subprocess.DEVNULL, capture_output=True, timeout=timeout, check=False)
+            if run.returncode:
+                wrong = f"{tool} ended with {run.returncode}: {run.stderr.decode('utf-8', 'replace')[-500:]}", "Extraction may be incomplete."
+        except FileNotFoundError:
+            wrong = f"{tool} is needed", "Not unpacked."
+        except subprocess.TimeoutExpired:
+            wrong = f"{tool} took over {timeout:g} seconds", "Stopped it."
+        for where, folders, files in os.walk(folder):
+            for name in sorted(folders + files):
+                path = os.path.join(where, name)
+                inside, mode = os.path.relpath(path, folder), os.lstat(path).st_mode
+                if stat.S_ISLNK(mode):
+                    yield Entry(inside, "link", link_target=os.readlink(path))
+                elif stat.S_ISDIR(mode):
+                    yield Entry(inside, "dir", mode=mode & 0o7777)
+                elif stat.S_ISREG(mode):
+                    size = os.path.getsize(path)
+                    if size > MOST:
+                        yield Entry(inside, problem="the content is larger than a row may hold", resolution="Skipped.", severity="ERROR")
+                        continue
+                    with open(path, "rb") as f:
+                        yield Entry(inside, content=f.read(), mode=mode & 0o7777)
+                else:
+                    yield Entry(inside, "special", problem="a special file", resolution="Skipped.", severity="WARNING")
+        if wrong:
+            yield Entry("", problem=wrong[0], resolution=wrong[1], severity="ERROR")
+
+
 def checked(entry: Entry, seen: set[str]) -> Entry:
     """The entry with a safe path and link target, or its problem and what was done about it."""
     if not entry.path:
@@ -504,17 +682,21 @@ def checked(entry: Entry, seen: set[str]) -> Entry:
     return replace(entry, mode=mode)
 
 
-def unpack(data: bytes, handler: str, encrypted: bool = False) -> Iterator[Entry]:
-    """Checked entries; what goes wrong is an entry with an error."""
+def unpack(data: bytes, handler: str, encrypted: bool = False, commands: bool = False) -> Iterator[Entry]:
+    """Checked entries; what goes wrong is an entry with an error.  With ``commands`` other programs unpack what isn't unpacked here."""
     if encrypted:
         yield Entry("", problem="the container is encrypted", resolution="Not unpacked.", severity="ERROR")
         return
     known = EXTRACTORS.get(handler)
     if known is None:
         tool = next((f.tool for f in FORMATS if f.name == handler), None)
-        if tool:
+        if not tool:
+            yield Entry("", problem="this format is found, but not unpacked", resolution="Not unpacked.", severity="WARNING")
+            return
+        if not commands or tool not in COMMANDS:
             yield Entry("", problem=f"{tool} is needed", resolution="Not unpacked.", severity="ERROR")
-        return
+            return
+        known = lambda content: command(content, tool)
     seen: set[str] = set()
     try:
         for entry in known(data):
@@ -523,13 +705,13 @@ def unpack(data: bytes, handler: str, encrypted: bool = False) -> Iterator[Entry
         yield Entry("", problem=f"{type(e).__name__}: {e}", resolution="Stopped here.", severity="ERROR")
 
 
-def entries(chunks: DataFrame) -> DataFrame:
+def entries(chunks: DataFrame, commands: bool = False) -> DataFrame:
     """(chunk_id, handler, content, is_encrypted) to ENTRIES."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, handler, content, encrypted in zip(*(batch[c].to_pylist() for c in ("chunk_id", "handler", "content", "is_encrypted"))):
-                out = [(chunk, handler, e.path, e.type, e.mode, len(e.content or b""), e.link_target, e.content, e.problem, e.resolution, e.severity) for e in unpack(content or b"", handler, bool(encrypted))]
+                out = [(chunk, handler, e.path, e.type, e.mode, len(e.content or b""), e.link_target, e.content, e.problem, e.resolution, e.severity) for e in unpack(content or b"", handler, bool(encrypted), commands)]
                 # A batch for each container: what one holds may be large.
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(SCHEMA)], schema=SCHEMA)
 

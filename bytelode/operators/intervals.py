@@ -38,9 +38,37 @@ def gaps(chunks: DataFrame, files: DataFrame, by: str = "file_id") -> DataFrame:
 
 
 def padded(gaps: DataFrame, files: DataFrame, by: str = "file_id") -> DataFrame:
-    """``gaps`` with kind: padding (one byte value over and over) or unknown; ``files`` has (by, content)."""
-    content = slice_bytes(F.col("content"), F.col("start"), F.col("end"))
-    return gaps.join(files.select(by, "content"), by).withColumn("kind", F.when(single_byte(content), "padding").otherwise("unknown")).drop("content")
+    """``gaps`` with kind: padding (one byte value over and over) or unknown; ``files`` has (by, content).
+
+    A file's ranges are gathered, so that each file's content meets them once, and is copied into no row.
+    """
+    rest = [c for c in gaps.columns if c != by]
+    own = gaps.groupBy(by).agg(F.collect_list(F.struct(*rest)).alias("_ranges"))
+    single = lambda r: single_byte(slice_bytes(F.col("content"), r["start"], r["end"]))
+    told = F.transform("_ranges", lambda r: r.withField("kind", F.when(single(r), "padding").otherwise("unknown")))
+    return files.select(by, "content").join(own, by).select(by, told.alias("_told")).select(by, F.inline("_told")).select(*gaps.columns, "kind")
+
+
+def outer_of(ranges: list[tuple[int, int]]) -> list[int]:
+    """The places of a file's ranges that lie in no larger one; the same as ``outer``, for ranges that are at hand."""
+    order = sorted(range(len(ranges)), key=lambda i: (ranges[i][0], -ranges[i][1]))
+    kept, reach, last = [], -1, None
+    for i in order:
+        if ranges[i][1] > reach or ranges[i] == last:
+            kept.append(i)
+            if ranges[i][1] > reach:
+                reach, last = ranges[i][1], ranges[i]
+    return kept
+
+
+def gaps_of(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """What none of a file's ranges covers; none where there are no ranges."""
+    out, at = [], 0
+    for start, end in sorted(ranges):
+        if start > at:
+            out.append((at, start))
+        at = max(at, end)
+    return out + [(at, length)] if ranges and at < length else out
 
 
 def coverage(chunks: DataFrame, files: DataFrame, by: str = "file_id") -> DataFrame:

@@ -118,9 +118,11 @@ def blocks(blobs: DataFrame, size: Column | int, content: str = "content") -> Da
     """A row for each block of the content, the last one short: block_no and the block as ``content``."""
     step = F.lit(size) if isinstance(size, int) else size
     n = F.octet_length(content)
-    numbers = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / step).cast("int"), F.lit(0))))
+    numbers = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / step).cast("int"), F.lit(0)))
     rest = [c for c in blobs.columns if c != content]
-    return blobs.filter(n > 0).select(*rest, content, numbers.alias("block_no")).select(*rest, "block_no", F.substring(F.col(content), (F.col("block_no") * step + 1).cast("int"), step.cast("int")).alias(content))
+    # Pieces are unfolded, not numbers: the whole content is in no row twice.
+    pieces = F.transform(numbers, lambda i: F.substring(F.col(content), (i * step + 1).cast("int"), step.cast("int")))
+    return blobs.filter(n > 0).select(*rest, F.posexplode(pieces).alias("block_no", content))
 
 
 def byte_counts(blobs: DataFrame, by: list[str], content: str = "content") -> DataFrame:

@@ -63,10 +63,10 @@ def checked(kind: Parts):
     return valid
 
 
-def multi_files(files: DataFrame) -> DataFrame:
+def multi_files(files: DataFrame, kinds: tuple[Parts, ...] = KINDS) -> DataFrame:
     """(handler, folder, name, paths, length) of valid sets.  Of each part, its first bytes and what ``each`` finds are passed on."""
     out = None
-    for kind in KINDS:
+    for kind in kinds:
         sets = groups(files, kind.pattern).filter(F.col("parts") >= kind.least)
         if kind.first:
             sets = sets.filter(F.col("first").endswith(f".{kind.first}"))

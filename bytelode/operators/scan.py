@@ -7,6 +7,7 @@ asks the format for the exact range, and after each accepted chunk starts anew a
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 from collections.abc import Iterable, Iterator, Sequence
@@ -81,20 +82,41 @@ class Hit:
     start: int
 
 
+class Ranges:
+    """A union of ranges; looked up by bisection."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> None:
+        low, high = bisect.bisect_left(self.ends, start), bisect.bisect_right(self.starts, end)
+        if low < high:
+            start, end = min(start, self.starts[low]), max(end, self.ends[high - 1])
+        self.starts[low:high], self.ends[low:high] = [start], [end]
+
+    def __contains__(self, at: int) -> bool:
+        i = bisect.bisect_right(self.starts, at)
+        return i > 0 and at < self.ends[i - 1]
+
+
 class Scanner:
     """All patterns of some formats, compiled once."""
 
     def __init__(self, formats: Sequence[Format]):
         self.formats = tuple(formats)
         self.regexes, self.anchored, self.loose = [], [], []
+        self.started: dict[int, re.Pattern] = {}
         self.automaton = ahocorasick.Automaton()
         literals: dict[bytes, list[tuple[int, int]]] = {}
         for order, f in enumerate(self.formats):
             for pattern in f.patterns:
                 k = len(self.regexes)
                 self.regexes.append((compiled(pattern), order))
-                if r"\A" in self.regexes[k][0].pattern.decode("latin-1"):
+                if r"\A" in (raw := self.regexes[k][0].pattern.decode("latin-1")):
                     self.anchored.append(k)
+                    # Matched at a place, which is the start of what is scanned, to whatever length.
+                    self.started[k] = re.compile(raw.replace(r"\A", "").encode("latin-1"), self.regexes[k][0].flags)
                 elif found := anchor(pattern):
                     literals.setdefault(found[1], []).append((found[0], k))
                 else:
@@ -123,22 +145,22 @@ class Scanner:
     def at_start(self, data: bytes, at: int) -> Iterator[Hit]:
         """Hits of the patterns that are tied to the start of what is scanned."""
         for k in self.anchored:
-            if m := self.regexes[k][0].match(data[at : at + 4096]):
-                yield Hit(at + m.end(), self.regexes[k][1], at)
+            if m := self.started[k].match(data, at):
+                yield Hit(m.end(), self.regexes[k][1], at)
 
     def search(self, data: bytes) -> list[tuple]:
         """(handler, start, end, is_encrypted, severity, error): chunks, and errors with null end."""
         queue = [(h.end, h.order, h.start) for h in [*self.hits(data), *self.at_start(data, 0)]]
         heapq.heapify(queue)
         out: list[tuple] = []
-        accepted: list[tuple[int, int]] = []
+        accepted = Ranges()
         cursor = 0
         while queue:
             _, order, start = heapq.heappop(queue)
             f = self.formats[order]
             real = start + f.offset
             # Scanning starts anew at the end of each chunk: what began before it is not seen.
-            if start < cursor or real < 0 or any(a <= real < b for a, b in accepted):
+            if start < cursor or real < 0 or real in accepted:
                 continue
             try:
                 span = f.span(data, real)
@@ -147,7 +169,7 @@ class Scanner:
                 continue
             if span is None or span.end > len(data):
                 continue
-            accepted.append((span.start, span.end))
+            accepted.add(span.start, span.end)
             out.append((f.name, span.start, span.end, span.encrypted, None, None))
             if span.end <= max(cursor, start):
                 out.append((f.name, span.start, None, None, "WARNING", "the chunk ends before its mark"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import shutil
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,12 +55,39 @@ def reports(rows: DataFrame, typename: str, **fields: Column) -> DataFrame:
 
 
 def of_analysis(made) -> DataFrame:
-    """Reports of all files of an analysis."""
-    chunks = reports(made.chunks, "ChunkReport", id=F.col("chunk_id"), handler_name=F.col("handler"), start_offset=F.col("start"), end_offset=F.col("end"), size=F.col("end") - F.col("start"), is_encrypted=F.col("is_encrypted"))
+    """Reports of all files of an analysis, of every type that it can give.
+
+    What went wrong as a chunk was unpacked is nested in the chunk's report.
+    """
+    wrong = made.entries.filter(F.col("problem").isNotNull())
+    needed = F.regexp_extract("problem", r"^(\S+) is needed$", 1)
+    kind = (
+        F.when(needed != "", "ExtractorDependencyNotFoundReport").when(F.col("problem").rlike(r"^\S+ ended with "), "ExtractCommandFailedReport").when(F.col("problem").rlike(r"^\S+ took over "), "ExtractorTimedOut")
+        .when(F.col("problem").rlike("path leaves the root|path is absolute"), "PathTraversalProblem").when(F.col("problem").startswith("the link to "), "LinkExtractionProblem").when(F.col("problem") == "a special file", "SpecialFileExtractionProblem")
+        .when(F.col("problem").rlike(r"^\w+(Error|Invalid|Large): "), "UnknownError").otherwise("ExtractionProblem")
+    )
+    one = F.create_map(*[x for name, c in (("__typename__", kind), ("severity", F.col("severity")), ("problem", F.col("problem")), ("resolution", F.col("resolution")), ("path", F.col("path"))) for x in (F.lit(name), c)])
+    problems = wrong.groupBy("parent_id").agg(F.sort_array(F.collect_list(F.to_json(one))).alias("_problems")).select(F.col("parent_id").alias("_parent"), F.transform("_problems", lambda x: F.from_json(x, "map<string,string>")).alias("_problems"))
+    chunks = reports(made.chunks.join(problems, F.col("chunk_id") == F.col("_parent"), "left"), "ChunkReport", extraction_reports=F.col("_problems"), id=F.col("chunk_id"), handler_name=F.col("handler"), start_offset=F.col("start"), end_offset=F.col("end"), size=F.col("end") - F.col("start"), is_encrypted=F.col("is_encrypted"))
     padding = reports(made.gaps.filter("kind = 'padding'"), "ChunkReport", id=F.col("chunk_id"), handler_name=F.lit("padding"), start_offset=F.col("start"), end_offset=F.col("end"), size=F.col("end") - F.col("start"), is_encrypted=F.lit(False))
-    unknown = reports(made.gaps.filter("kind = 'unknown'"), "UnknownChunkReport", id=F.col("chunk_id"), start_offset=F.col("start"), end_offset=F.col("end"), size=F.col("end") - F.col("start"))
+    measured = made.randomness.select(F.col("chunk_id").alias("_measured"), F.struct("shannon", "chi_square").alias("_random")).filter("_measured IS NOT NULL")
+    gaps = made.gaps.filter("kind = 'unknown'").join(measured, F.col("chunk_id") == F.col("_measured"), "left")
+    unknown = reports(gaps, "UnknownChunkReport", randomness=F.col("_random"), id=F.col("chunk_id"), start_offset=F.col("start"), end_offset=F.col("end"), size=F.col("end") - F.col("start"))
     stat = reports(made.tasks, "StatReport", path=F.col("path"), size=F.col("length"), is_file=F.lit(True), is_dir=F.lit(False), is_link=F.lit(False))
-    return stat.unionByName(chunks).unionByName(padding).unionByName(unknown)
+    every = [
+        stat, chunks, padding, unknown,
+        reports(made.tasks, "HashReport", md5=F.col("md5"), sha1=F.col("sha1"), sha256=F.col("sha256")), reports(made.tasks, "FileMagicReport", magic=F.col("magic"), mime_type=F.col("mime_type")),
+        reports(made.randomness.filter("chunk_id IS NULL"), "RandomnessReport", shannon=F.col("shannon"), chi_square=F.col("chi_square")),
+        reports(made.errors, "CalculateChunkExceptionReport", severity=F.col("severity"), exception=F.col("error"), start_offset=F.col("start"), handler=F.col("handler")),
+        reports(made.sets.join(problems, F.col("set_id") == F.col("_parent"), "left"), "MultiFileReport", id=F.col("set_id"), handler_name=F.col("handler"), name=F.col("name"), paths=F.col("paths"), extraction_reports=F.col("_problems")),
+        reports(made.collisions, "MultiFileCollisionReport", severity=F.lit("ERROR"), paths=F.array("path")), reports(made.deleted, "ExtractedFileDeletedReport", path=F.col("path"), handler_name=F.col("handler")),
+        # What is carved out of a file that is no container as a whole.
+        reports(made.chunks.join(made.tasks.select("file_id", "length"), "file_id").filter("start > 0 OR end < length").select("file_id").distinct(), "CarveDirectoryReport", carve_dir=F.concat("file_id", F.lit("_extract"))),
+    ]
+    out = every[0]
+    for rows in every[1:]:
+        out = out.unionByName(rows)
+    return out
 
 
 def to_json(rows: DataFrame) -> DataFrame:
@@ -79,7 +108,7 @@ def from_json(rows: DataFrame) -> DataFrame:
 def errors(rows: DataFrame) -> DataFrame:
     """(file_id, typename, severity): reports that are errors, and those nested in chunks."""
     top = rows.filter(F.col("severity").isNotNull()).select("file_id", "typename", "severity")
-    nested = rows.filter("typename = 'ChunkReport'").select("file_id", F.explode("extraction_reports").alias("r")).select("file_id", F.col("r")["__typename__"].alias("typename"), F.col("r")["severity"].alias("severity"))
+    nested = rows.filter("typename IN ('ChunkReport', 'MultiFileReport')").select("file_id", F.explode("extraction_reports").alias("r")).select("file_id", F.col("r")["__typename__"].alias("typename"), F.col("r")["severity"].alias("severity"))
     return top.unionByName(nested.filter(F.col("severity").isNotNull()))
 
 
@@ -101,8 +130,8 @@ def distribution(chunks: DataFrame) -> DataFrame:
 
 def ranked(distribution: DataFrame) -> DataFrame:
     """(handler, size, shown, percent) in order of size, the largest first."""
-    total = distribution.agg(F.sum("size").alias("total"))
-    return distribution.crossJoin(F.broadcast(total)).select("handler", "size", human_size(F.col("size")).alias("shown"), F.when(F.col("total") > 0, F.col("size") * 100 / F.col("total")).otherwise(0.0).alias("percent")).orderBy(F.col("size").desc(), "handler")
+    # A row for each format: a window over them is small.
+    return distribution.withColumn("total", F.sum("size").over(Window.partitionBy(F.lit(0)))).select("handler", "size", human_size(F.col("size")).alias("shown"), F.when(F.col("total") > 0, F.col("size") * 100 / F.col("total")).otherwise(0.0).alias("percent")).orderBy(F.col("size").desc(), "handler")
 
 
 def output_dir(tasks: DataFrame) -> DataFrame:
@@ -118,8 +147,10 @@ def formats_table(spark: SparkSession) -> DataFrame:
 
 
 def tools(spark: SparkSession) -> DataFrame:
-    """(tool, formats): commands that unpack what the library doesn't."""
-    return formats_table(spark).filter(F.col("tool").isNotNull()).groupBy("tool").agg(F.sort_array(F.collect_set("name")).alias("formats")).orderBy("tool")
+    """(tool, formats, installed): commands that unpack what the library doesn't, and whether the driver has them."""
+    here = [f.tool for f in FORMATS if f.tool and shutil.which(f.tool)]
+    found = formats_table(spark).filter(F.col("tool").isNotNull()).groupBy("tool").agg(F.sort_array(F.collect_set("name")).alias("formats"))
+    return found.withColumn("installed", F.col("tool").isin(*here) if here else F.lit(False)).orderBy("tool")
 
 
 def plot(percentages: list[float], width: int = 80, height: int = 10) -> str:

@@ -1,6 +1,7 @@
 """Formats, directory formats and report types of one's own.
 
-A plug-in is a module with a function ``formats()`` that gives formats, found as a file, as the modules of a folder, or by
+A plug-in is a module with a function ``formats()`` that gives formats and directory formats (``Parts``), and, where it has types of reports,
+a function ``report_types()`` that gives {name: fields}; it is found as a file, as the modules of a folder, or by
 the entry point group ``bytelode``.
 """
 
@@ -12,6 +13,7 @@ import sys
 from pathlib import Path
 
 from bytelode.formats import Format
+from bytelode.operators.multifile import Parts
 
 GROUP = "bytelode"
 
@@ -33,6 +35,10 @@ def load(path: str | Path) -> tuple[Format, ...]:
     sys.modules[name] = module
     try:
         spec.loader.exec_module(module)
+        from bytelode.plans import reports
+
+        for kind, fields in getattr(module, "report_types", dict)().items():
+            reports.register(kind, tuple(fields))
         return checked(module.formats(), str(path))
     except Exception as e:
         raise PluginError(f"{path}: {e}") from e
@@ -44,6 +50,7 @@ def installed() -> tuple[Format, ...]:
 
 
 def checked(found, where: str) -> tuple[Format, ...]:
-    if not all(isinstance(f, Format) for f in found):
+    found = tuple(found)
+    if not all(isinstance(f, (Format, Parts)) for f in found):
         raise PluginError(f"{where} gives what isn't a format")
-    return tuple(found)
+    return found

@@ -13,10 +13,25 @@ SIGNATURES = {
     "4f676753": "Ogg data", "664c6143": "FLAC audio", "494433": "Audio file", "7f454c46": "ELF", "504b0304": "Zip archive", "1f8b08": "gzip compressed data", "425a68": "bzip2 compressed data",
     "fd377a585a00": "XZ compressed data", "377abcaf271c": "7-zip archive", "28b52ffd": "Zstandard compressed data", "cafebabe": "compiled Java class data", "53514c69746520666f726d6174203300": "SQLite 3.x database",
     "3c21444f43545950": "HTML document", "3c21646f63747970": "HTML document", "3c68746d6c": "HTML document", "3c3f786d6c": "XML document",
+    "62464c54": "BFLT executable", "464f5231": "Erlang BEAM file", "de120495": "GNU message catalog", "950412de": "GNU message catalog", "1b252d3132333435": "HP Printer Job Language data", "cafedada": "Java module image", "000001ba": "MPEG sequence", "000001b3": "MPEG sequence",
+    "00000100": "MS Windows icon resource", "465753": "Macromedia Flash data", "435753": "Macromedia Flash data", "0001000000": "TrueType Font data", "774f4646": "Web Open Font Format", "774f4632": "Web Open Font Format", "42303030": "Windows Embedded CE binary image", "00090ff00ff0": "Xilinx BIT data",
 }
 #: Starts of names of kinds that are not searched, and ends of paths that are not.
-SKIPPED_KINDS = ("PNG image", "JPEG image", "GIF image", "PDF document", "Audio file", "Ogg data", "FLAC audio", "RIFF data", "SQLite 3.x", "compiled Java class")
+SKIPPED_KINDS = ("PNG image", "JPEG image", "GIF image", "PDF document", "Audio file", "Ogg data", "FLAC audio", "RIFF data", "SQLite 3.x", "compiled Java class", "BFLT", "Erlang BEAM file", "GNU message catalog", "HP Printer Job Language",
+                 "Java module image", "MPEG", "MS Windows icon resource", "Macromedia Flash data", "TrueType Font data", "Web Open Font Format", "Windows Embedded CE binary image", "Xilinx BIT data")
 SKIPPED_SUFFIXES = (".rlib",)
+#: Media types of kinds.
+MIME = {
+    "PNG image": "image/png", "JPEG image": "image/jpeg", "GIF image": "image/gif", "PDF document": "application/pdf", "ELF": "application/x-executable", "Zip archive": "application/zip", "gzip compressed data": "application/gzip", "bzip2 compressed data": "application/x-bzip2",
+    "XZ compressed data": "application/x-xz", "7-zip archive": "application/x-7z-compressed", "Zstandard compressed data": "application/zstd", "compiled Java class data": "application/x-java-applet", "SQLite 3.x database": "application/vnd.sqlite3", "HTML document": "text/html", "XML document": "text/xml",
+    "Ogg data": "application/ogg", "FLAC audio": "audio/flac", "Audio file": "audio/mpeg", "MPEG sequence": "video/mpeg", "MS Windows icon resource": "image/vnd.microsoft.icon", "Macromedia Flash data": "application/x-shockwave-flash", "TrueType Font data": "font/sfnt", "Web Open Font Format": "font/woff",
+}
+
+
+def mime_type(magic: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
+    return F.coalesce(table[magic], F.lit("application/octet-stream"))
+
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:

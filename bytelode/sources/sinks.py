@@ -16,9 +16,13 @@ from bytelode.functions.binary import slice_bytes
 def carved(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """(path, content): ``{start}-{end}.{kind}`` in a folder named after the file; chunks of a file that is one whole chunk aren't carved."""
     kind = F.coalesce(*[F.col(c) for c in ("handler", "kind") if c in chunks.columns])
-    name = F.concat(F.col("file_id"), F.lit("_extract/"), F.col("start"), F.lit("-"), F.col("end"), F.lit("."), kind)
-    rows = chunks.join(files.select("file_id", "length", "content"), "file_id").filter((F.col("start") > 0) | (F.col("end") < F.col("length")))
-    return rows.select(name.alias("path"), slice_bytes(F.col("content"), F.col("start"), F.col("end")).alias("content"))
+    own = chunks.groupBy("file_id").agg(F.collect_list(F.struct("start", "end", kind.alias("kind"))).alias("ranges"))
+    # A file's content meets all of its ranges at once; slices, not copies of it, become rows.
+    part = lambda r: F.struct(
+        F.concat(F.col("file_id"), F.lit("_extract/"), r["start"], F.lit("-"), r["end"], F.lit("."), r["kind"]).alias("path"), slice_bytes(F.col("content"), r["start"], r["end"]).alias("content")
+    )
+    some = F.filter("ranges", lambda r: (r["start"] > 0) | (r["end"] < F.col("length")))
+    return files.select("file_id", "length", "content").join(own, "file_id").select(F.inline(F.transform(some, part)))
 
 
 def write_files(rows: DataFrame, folder: str, exist_ok: bool = False) -> None:

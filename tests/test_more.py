@@ -88,7 +88,7 @@ def test_command_line(spark, tmp_path, capsys):
     code = main([str(tmp_path / "in"), "--work", str(tmp_path / "work"), "--report", str(tmp_path / "report"), "--extract-dir", str(tmp_path / "out")], spark)
     assert code == 0 and "zip" in capsys.readouterr().out
     kinds = {json.loads(line)["__typename__"] for p in (tmp_path / "report").glob("*.txt") for line in p.read_text().splitlines()}
-    assert kinds == {"StatReport", "ChunkReport", "UnknownChunkReport"}
+    assert kinds == {"StatReport", "HashReport", "FileMagicReport", "ChunkReport", "UnknownChunkReport", "CarveDirectoryReport"}
     assert [p.read_bytes() for p in (tmp_path / "out").rglob("a.txt")] == [b"hello " * 50]
     assert main(["--show-external-dependencies"], spark) == 0 and "7z" in capsys.readouterr().out
 

@@ -26,30 +26,48 @@ BUCKETS = 1 << 20
 MARKS = " \t\n\v\f\r.,;:!?\"'()[]{}<>*#$%&|/\\~_-«»„“”‘’¿¡…"
 
 
-def terms(word: str) -> tuple[int, ...]:
-    word = word.strip(MARKS)
-    if not word:
-        return ()
-    found = ["w" + word, *("p" + word[:n] for n in (4, 5) if len(word) >= n)]
-    return tuple(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in found)
+def bucket(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+class Starts(dict):
+    """First letters: their bucket.  Emptied when it grows large."""
+
+    def __missing__(self, letters: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        out = self[letters] = bucket("p" + letters)
+        return out
 
 
 class Terms(dict):
-    """word: its terms, or with ``kept`` the places of those that the machine knows.  Emptied when it grows large."""
+    """word: its terms, or with ``kept`` the places of those that the machine knows.
+
+    When it grows large, what it holds is put aside until it has grown so large again, so that common words need no new look.
+    """
 
     def __init__(self, kept: dict[int, int] | None = None):
         super().__init__()
-        self.kept = kept
+        self.kept, self.starts, self.aside = kept, Starts(), {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 200_000:
+            self.aside = dict(self)
             self.clear()
-        found = terms(word)
-        out = self[word] = found if self.kept is None else tuple(self.kept[t] for t in found if t in self.kept)
+        out = self.aside.get(word)
+        if out is None:
+            out = self.terms(word.strip(MARKS))
+        self[word] = out
         return out
 
+    def terms(self, word: str) -> tuple[int, ...]:
+        if not word:
+            return ()
+        found = [bucket("w" + word), *(self.starts[word[:n]] for n in (4, 5) if len(word) >= n)]
+        return tuple(found) if self.kept is None else tuple([self.kept[t] for t in found if t in self.kept])
+
     def of(self, text: str | None) -> list[int]:
-        return list({t for word in set((text or "").lower().split()) for t in self[word]})
+        return list(set().union(*map(self.__getitem__, set((text or "").lower().split()))))
 
 
 @dataclass(frozen=True)

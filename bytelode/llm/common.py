@@ -108,6 +108,32 @@ def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) ->
     return df.mapInArrow(function, schema)
 
 
+class Memory(dict):
+    """key: what ``find`` makes of it, never None.
+
+    When it grows large, what it holds is put aside until it has grown so large again, so that common keys are not found anew.
+    """
+
+    most = 200_000
+
+    def __init__(self):
+        super().__init__()
+        self.aside = {}
+
+    def __missing__(self, key):
+        if len(self) > self.most:
+            self.aside = dict(self)
+            self.clear()
+        out = self.aside.get(key)
+        if out is None:
+            out = self.find(key)
+        self[key] = out
+        return out
+
+    def find(self, key):
+        raise NotImplementedError
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import fold, labelled_sample, map_arrow
+from bytelode.llm.common import Memory, fold, labelled_sample, map_arrow
 
 BUCKETS = 1 << 20
 MARKS = " \t\n\v\f\r.,;:!?\"'()[]{}<>*#$%&|/\\~_-«»„“”‘’¿¡…"
@@ -30,37 +30,22 @@ def bucket(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-class Starts(dict):
-    """First letters: their bucket.  Emptied when it grows large."""
-
-    def __missing__(self, letters: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        out = self[letters] = bucket("p" + letters)
-        return out
+class Starts(Memory):
+    """First letters: their bucket."""
 
+    def find(self, letters: str) -> int:
+        return bucket("p" + letters)
 
-class Terms(dict):
-    """word: its terms, or with ``kept`` the places of those that the machine knows.
 
-    When it grows large, what it holds is put aside until it has grown so large again, so that common words need no new look.
-    """
+class Terms(Memory):
+    """word: its terms, or with ``kept`` the places of those that the machine knows."""
 
     def __init__(self, kept: dict[int, int] | None = None):
         super().__init__()
-        self.kept, self.starts, self.aside = kept, Starts(), {}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
-            self.aside = dict(self)
-            self.clear()
-        out = self.aside.get(word)
-        if out is None:
-            out = self.terms(word.strip(MARKS))
-        self[word] = out
-        return out
+        self.kept, self.starts = kept, Starts()
 
-    def terms(self, word: str) -> tuple[int, ...]:
+    def find(self, word: str) -> tuple[int, ...]:
+        word = word.strip(MARKS)
         if not word:
             return ()
         found = [bucket("w" + word), *(self.starts[word[:n]] for n in (4, 5) if len(word) >= n)]

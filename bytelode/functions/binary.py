@@ -64,12 +64,21 @@ UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
 def human_size(size: Column) -> Column:
-    """``1.50 KB``: steps of 1024 up to TB, two decimals."""
+    """``1.50 KB``: steps of 1024 up to TB, two decimals.
+
+    The size counts as a double does, and decimals are rounded by whole numbers, half to even: Java's formatting rounds half up.
+    """
     step = F.lit(0)
     for i in range(1, len(UNITS)):
         step = step + (size >= 1024**i).cast("int")
-    scaled = size.cast("double") / F.pow(F.lit(1024.0), step)
-    return F.concat(F.format_string("%.2f", scaled), F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in UNITS]), step + 1))
+    # The largest doubles are beyond a long.
+    near = F.coalesce(size.cast("double").try_cast("long"), size.cast("long"))
+    unit = F.element_at(F.array(*[F.lit(1024**i) for i in range(len(UNITS))]), step + 1).cast("long")
+    whole, rest = F.call_function("div", near, unit), (near % unit) * 100
+    cents, over = F.call_function("div", rest, unit), rest % unit * 2
+    cents = cents + ((over > unit) | ((over == unit) & (cents % 2 == 1))).cast("long")
+    whole = whole + (cents == 100).cast("long")
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in UNITS]), step + 1))
 
 
 def range_hex(start: Column, end: Column) -> Column:

@@ -242,7 +242,7 @@ def size_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT o_orderkey, {HUMAN.format(x='v')} AS shown FROM (SELECT o_orderkey, (o_totalprice * o_orderkey)::BIGINT AS v FROM orders)")
 def human_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select("o_orderkey", b.human_size(F.round(F.col("o_totalprice") * F.col("o_orderkey"), 0).cast("long")).alias("shown"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", b.human_size(F.rint(F.col("o_totalprice") * F.col("o_orderkey")).cast("long")).alias("shown"))
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:

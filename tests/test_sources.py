@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from bytelode import plugins
 from bytelode.functions import binary as b
 from bytelode.operators import scan
 from bytelode.operators.multifile import multi_files
+from bytelode.queries import HUMAN, QUERIES, SQL
 from bytelode.sources import files as source
 from bytelode.streaming import arrivals
 from test_formats import zipped
@@ -72,6 +74,22 @@ def test_bytes(spark):
     assert (row.le, row.be, int(row.big), row.short, row.up, row.size, row.one, row.many, row.hex) == (0x04030201, 0x01020304, 2**64 - 1, None, 1024, "1.50 KB", True, False, "0x3e8-0x600")
 
 
+def test_human_sizes_round_half_to_even(spark):
+    """As SQL's printf does: ties, carries, negative sizes, and sizes that no double holds."""
+    sizes = [0, -1536, 1023, 1024, 1152, 1408, 1664, 1920, 1024**2 - 1, 1024**2 + 131072, 1024**3 * 5 // 8, 1024**4 * 3 + 1024**4 // 8, 2**53 + 1, 2**63 - 1, -(2**63)]
+    found = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", b.human_size(F.col("n")).alias("shown")).collect()
+    rows = ", ".join(f"({n}::BIGINT)" if n > -(2**63) else "((-9223372036854775807 - 1)::BIGINT)" for n in sizes)
+    assert {r.n: r.shown for r in found} == dict(duckdb.sql(f"SELECT n, {HUMAN.format(x='n')} FROM (VALUES {rows}) v(n)").fetchall())
+    assert {r.n: r.shown for r in found}[1152] == "1.12 KB"
+
+
+def test_half_sizes_go_to_even_numbers(spark, tmp_path):
+    spark.createDataFrame([(1, 0.5), (1, 1.5), (3, 0.5), (5, 0.5)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    assert sorted(map(tuple, QUERIES["human_size"](spark, str(tmp_path)).collect())) == sorted(duck.execute(SQL["human_size"]).fetchall())
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a").write_bytes(b"junk" + zipped() + b"tail")

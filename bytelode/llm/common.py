@@ -50,12 +50,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before) if before is not None else spark.conf.unset(cleanup)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    if _passing:
+        _passing[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The path's file system, and the path in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+#: The tables that each ``concluded`` under way has had written so far.
+_passing: list[list[str]] = []
+
+
+def concluded(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, materialized; the tables that were materialized on the way go, as nothing reads them any more.
+
+    So nothing else that ``make`` has derived from them may be used later.
+    """
+    _passing.append(passed := [])
+    try:
+        out = make()
+    finally:
+        _passing.pop()
+    out = materialize(out, name)
+    for path in passed:
+        files, at = _files(spark, path)
+        files.delete(at, True)
+        files.cancelDeleteOnExit(at)
+    return out
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """Names for columns to be added: those wanted, with so many underscores before them that the table has none of that name."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import free, map_arrow, materialize, with_maybe
+from bytelode.llm.common import concluded, free, map_arrow, materialize, with_maybe
 
 SPACE = " \t\n\v\f\r"
 FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -92,6 +92,10 @@ def keep_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
 
     The bits after the last lost line are set.
     """
+    return concluded(docs.sparkSession, lambda: bitmaps_of(docs, least), "line-bitmaps")
+
+
+def bitmaps_of(docs: DataFrame, least: int) -> DataFrame:
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     # Written, as range partitioning looks at its input twice: once for a sample of the ranges.
     places = materialize(map_arrow(marked, keyed_lines(least), "h binary, doc_id long, mark long, pos int"), "line-keys")
@@ -109,7 +113,6 @@ def keep_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with each document's bitmap, or null, as the last column."""
     ids, mark, keep = free(docs, "_id", "_mark", "_keep")
-    bitmaps = materialize(bitmaps, "line-bitmaps")
     bits = bitmaps.select(F.col("doc_id").alias(ids), F.col("mark").alias(mark), F.col("keep").alias(keep))
     (maybe,) = free(docs, "_maybe")
     # Documents that certainly lose nothing stay where they are.

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import free, map_arrow, materialize, with_maybe, without
+from bytelode.llm.common import concluded, free, map_arrow, materialize, with_maybe, without
 
 U = np.uint64
 MIX = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)]
@@ -391,6 +391,11 @@ def classes_and_links(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     names = sets.filter(F.col("fp").isNotNull()).select("fp").distinct().groupBy(F.substring("fp", 1, 8).alias("short")).count().filter("count > 1")
     width = 8 if names.isEmpty() else 16
     sets = sets.withColumn("fp", F.substring("fp", 1, width))
+    return sets, concluded(spark, lambda: links_of(texts, sets, order, width, join), "join-links")
+
+
+def links_of(texts: DataFrame, sets: DataFrame, order, width: int, join: Join) -> DataFrame:
+    """(fp, other, links) of the classes of ``sets``; order: the broadcast steps of the counters; width: bytes of a class's name."""
     lists = map_arrow(texts, prefixes(join, order, width), "g long, fp binary, n long, pos int").repartition("g").dropDuplicates(["g", "fp"])
     shared = lists.withColumn("m", F.count("*").over(Window.partitionBy("g"))).filter("m > 1")
     # Twice: lists get shorter by the classes that are out, and with them more classes are.
@@ -421,13 +426,16 @@ def classes_and_links(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     whole = map_arrow(picked, full, "doc_id long, fp binary, hashes binary")
     whole = whole.join(wanted, ["fp", "doc_id"]).dropDuplicates(["fp"]).select("fp", "copies", "hashes")
     blocks = pairs.join(whole, "fp").repartition("g", "i", "j").sortWithinPartitions(*together)
-    links = blocks.mapInArrow(verified(join), "fp binary, other binary, links long")
-    return sets, materialize(links, "join-links")
+    return blocks.mapInArrow(verified(join), "fp binary, other binary, links long")
 
 
 def grouped(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """(documents (doc_id, mark, n, fp), classes (fp, component_id, n_links) of more than one document or with links)."""
     sets, links = classes_and_links(docs, join)
+    return sets, concluded(docs.sparkSession, lambda: classes_of(sets, links), "join-classes")
+
+
+def classes_of(sets: DataFrame, links: DataFrame) -> DataFrame:
     labels = components(links.filter(F.col("other").isNotNull()).select(F.col("fp").alias("a"), F.col("other").alias("b")))
     near = links.filter(F.col("other").isNull()).groupBy("fp").agg(F.sum("links").alias("near"))
     # By class, so that a class with very many copies is one row in the joins; classes of one document without links need none.
@@ -435,7 +443,7 @@ def grouped(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     classes = materialize(classes.join(near, "fp", "left").filter((F.col("copies") > 1) | F.col("near").isNotNull()), "join-some")
     classes = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    return sets, materialize(classes.join(lows, "root").select("fp", "component_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "join-classes")
+    return classes.join(lows, "root").select("fp", "component_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
 
 
 def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -454,12 +462,15 @@ NEAR = Join(n=5, percent=80)
 def surplus(docs: DataFrame, join: Join) -> DataFrame:
     """(doc_id, mark, one) of the rows that are not their group's representative, which is the row with the smallest doc_id, and
     of these the smallest hash of its text; ``one``: copies of the representative's row itself, of which one stays."""
-    sets, classes = grouped(docs, join)
+    return concluded(docs.sparkSession, lambda: surplus_of(*grouped(docs, join)), "join-surplus")
+
+
+def surplus_of(sets: DataFrame, classes: DataFrame) -> DataFrame:
     members = sets.filter(F.col("doc_id").isNotNull()).join(classes.select("fp", "component_id"), "fp").groupBy("doc_id", "mark", "component_id").agg(F.count("*").alias("rows"))
     first = members.filter(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("mark").alias("first"))
     chosen = (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("first"))
     found = members.join(first, "component_id").select("doc_id", "mark", chosen.alias("one"), "rows")
-    return materialize(found.filter(~F.col("one") | (F.col("rows") > 1)).select("doc_id", "mark", "one"), "join-surplus")
+    return found.filter(~F.col("one") | (F.col("rows") > 1)).select("doc_id", "mark", "one")
 
 
 def representatives(docs: DataFrame, join: Join = NEAR) -> DataFrame:
@@ -492,9 +503,13 @@ def without_copies(docs: DataFrame, before: DataFrame, join: Join = NEAR) -> Dat
     Documents are compared as they were; one of each group stays.  Only documents whose lines are lines of what they were can
     go, and only those are taken as copies of each other that are in both tables.
     """
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull())
-    was = materialize(with_maybe(before.select("doc_id", "text"), ids, "maybe").filter("maybe").select("doc_id", "text").join(ids, "doc_id", "left_semi"), "join-before")
-    gone = surplus(was, join).filter(~F.col("one")).select("doc_id").distinct()
+
+    def were() -> DataFrame:
+        ids = materialize(docs.select("doc_id").filter(F.col("doc_id").isNotNull()), "join-ids")
+        was = materialize(with_maybe(before.select("doc_id", "text"), ids, "maybe").filter("maybe").select("doc_id", "text").join(ids, "doc_id", "left_semi"), "join-before")
+        return surplus(was, join).filter(~F.col("one")).select("doc_id").distinct()
+
+    gone = concluded(docs.sparkSession, were, "join-gone")
     mine = with_maybe(docs.select("doc_id", "text"), gone, "maybe").filter("maybe").select("doc_id", "text").join(gone, "doc_id", "left_semi")
     theirs = with_maybe(before.select("doc_id", F.col("text").alias("before")), gone, "maybe").filter("maybe").select("doc_id", "before")
 

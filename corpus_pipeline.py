@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.llm import decontam, linededup, mixing, ngram_join, quality
-from bytelode.llm.common import materialize, table
+from bytelode.llm.common import concluded, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Line dedup leaves of a near copy the lines that differ, which are no copy of anything; so documents are then compared
     as they were in ``sf_dir`` too.
     """
-    kept = materialize(ngram_join.representatives(docs), "own-representatives")
-    return ngram_join.without_copies(kept, table(spark, sf_dir, "documents"))
+    # Not written between: what stays is told by two small tables of what goes.
+    return ngram_join.without_copies(ngram_join.representatives(docs), table(spark, sf_dir, "documents"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, staged(spark, sf_dir, STAGES[:-1]), sf_dir)
+
+
+def staged(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
+    """What these stages make of the documents; each is written, and what it was made from goes."""
+    if not stages:
+        return table(spark, sf_dir, "documents")
+    name, stage = stages[-1]
+    return concluded(spark, lambda: stage(spark, staged(spark, sf_dir, stages[:-1]), sf_dir), f"stage-{name}")

@@ -1,4 +1,6 @@
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import duckdb
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bytelode.llm import decontam, linededup, ngram_join, quality, queries
-from bytelode.llm.common import materialize, table
+from bytelode.llm.common import materialize, shared_dir, table
 from conftest import DATA
 from test_ngram_join import brute
 
@@ -97,6 +99,21 @@ def test_near_copies_go_from_end_to_end(spark, tmp_path):
     assert stages["near_duplicates"](spark, other, str(tmp_path)).count() == len(texts)
 
 
+def test_tables_go_when_nothing_reads_them(spark):
+    """Of what is written on the way, a stage leaves only what its result reads, and a run only the last stage's input."""
+    at = Path(urlparse(shared_dir(spark)).path)
+    names = lambda before: sorted(x.name.rsplit("-", 1)[0] for x in set(at.iterdir()) - before)
+    docs, stages, before = table(spark, DATA, "documents"), dict(corpus_pipeline.STAGES), set(at.iterdir())
+    rows = stages["near_duplicates"](spark, docs, DATA)
+    assert names(before) == ["join-copies", "join-gone", "join-surplus"]
+    assert rows.count() > 0
+    before = set(at.iterdir())
+    assert stages["line_dedup"](spark, docs, DATA).count() > 0 and names(before) == ["line-bitmaps"]
+    before = set(at.iterdir())
+    assert corpus_pipeline.run(spark, DATA).count() > 100
+    assert [x for x in names(before) if not x.startswith("mix-")] == ["stage-decontamination"]
+
+
 def test_repeated_ids(spark):
     """A row goes by its own text, not by its id; of a repeated representative one row stays."""
     text = " ".join(f"w{i}" for i in range(40))

@@ -116,7 +116,9 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS handler, 24::BIGINT AS start, (24 + {size})::BIGINT AS stop FROM d" for name, size in SIZES.items()))
 def formats_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container of each kind around every text, between other bytes; all patterns are searched."""
-    found = scan.search_chunks(made_around(texts(spark, sf_dir), STORED, samples.HEAD, samples.TAIL)).filter(F.col("error").isNull())
+    # Dealt out first, as a table in one row group is read by one task, and the search takes far longer than the shuffle.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    found = scan.search_chunks(made_around(texts(spark, sf_dir).repartition(parts), STORED, samples.HEAD, samples.TAIL)).filter(F.col("error").isNull())
     return intervals.outer(found).select(F.split("file_id", ":")[0].cast("long").alias("doc_id"), "handler", "start", F.col("end").alias("stop"))
 
 

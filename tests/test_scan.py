@@ -1,6 +1,7 @@
 import pytest
 
-from bytelode.formats import Format, Invalid, Span
+from bytelode.formats import FORMATS, Format, Invalid, Span
+from bytelode.functions.patterns import compiled
 from bytelode.operators.scan import Scanner, anchor, literal_hits, search_chunks
 
 
@@ -65,6 +66,18 @@ def test_anchors():
     assert anchor("41 42") is None
 
 
+def test_padding_is_no_anchor():
+    """A run of one byte, which padding is full of, is not where a regex is tried; what it would have found is found."""
+    assert anchor("[2] 13 ( 7f | 8f ) 00 00 00 00") is None and anchor("00 00 00 00 41 42 43") == (0, bytes(4) + b"ABC")
+    own = Scanner([toy("a", ["[2] 13 ( 7f | 8f ) 00 00 00 00"], lambda r: 8)])
+    data = bytes(50) + b"\x13\x7f" + bytes(9) + b"\x13\x8f" + bytes(4)
+    whole = compiled("[2] 13 ( 7f | 8f ) 00 00 00 00")
+    assert [(h.start, h.end) for h in own.hits(data)] == [(m.start(), m.end()) for at in range(len(data)) if (m := whole.match(data, at))] == [(48, 56), (59, 67)]
+    assert own.hits(b"\x13\x7f" + bytes(4)) == []
+    every = Scanner(FORMATS)
+    assert not any(True for _ in every.automaton.iter("\0" * 1000 + "\xff" * 1000))
+
+
 def test_frame(spark):
     df = spark.createDataFrame([("x", bytearray(b"00A23450")), ("y", bytearray(b"")), ("z", None)], "file_id string, content binary")
     assert [(r.file_id, r.handler, r.start, r.end) for r in search_chunks(df, names=(), extra=TOYS[:1]).collect()] == [("x", "A", 2, 7)]

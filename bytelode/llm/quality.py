@@ -1,10 +1,9 @@
 """Quality classifier: Bradley-Terry pairwise ranking, thresholded at a quantile of the scores.
 
 A document is described by the shares of its words' shapes (letters, capitals, digits and marks, runs collapsed) and
-a few measures of repetition.  From labelled documents, preference pairs (better, worse) are drawn; a linear score is
-fitted by logistic loss on the pairs' feature differences.  The cut is the quantile of the training scores that has
-the share of rejected labels below it (of all labels to learn from, not of the sample, which has as many of either); a logistic
-curve through it gives it a score of 0.7.
+a few measures of repetition.  Each labelled document is in preference pairs (better, worse), which are drawn in blocks; a linear
+score is fitted by logistic loss on the pairs' feature differences.  The cut is the quantile of the training scores, of all
+labelled documents, that has the share of rejected labels below it; a logistic curve through it gives it a score of 0.7.
 
 Defined cases: texts of any length are described as a whole; documents with equal features tie, with equal scores;  null and empty texts have a feature vector of their own (all zero but for its bias) and get a score;
 without labels of both kinds every score is 0.7 (all documents pass); repeated rows get the same score; an empty table
@@ -14,7 +13,7 @@ gives an empty result; columns besides ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytelode.llm.common import Memory, fold, free, label_share, labelled_sample, map_arrow
+from bytelode.llm.common import Memory, fold, free, map_arrow, materialize, with_maybe
 
 SHAPES, MEASURES = 256, 10
 SIZE = SHAPES + MEASURES
@@ -85,47 +84,159 @@ class Ranker:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, share: float | None = None, pairs: int = 40_000, steps: int = 300, decay: float = 1e-4, seed: int = 7) -> Ranker:
-    """x: features, y: 0 or 1, share: of label 0 among all labels, if it is another than in ``y``.  Full-batch descent on
-    log(1 + exp(-(better - worse) . w))."""
+def differences(block: int, better: np.ndarray, worse: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Feature differences of a block's pairs: two rounds, in each of which every row of the more common label meets one of
+    the other, and those come equally often."""
+    if not len(better) or not len(worse):
+        return np.zeros((0, better.shape[1]))
+    rng, n = np.random.default_rng([seed, block]), max(len(better), len(worse))
+    i, j = (np.concatenate([np.resize(rng.permutation(len(x)), n) for _ in range(2)]) for x in (better, worse))
+    return better[i].astype(np.float64) - worse[j]
+
+
+def summed(pairs: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The pairs' number, loss, gradient and second derivatives at ``w``, one after the other."""
+    z = pairs @ w
+    p = 1.0 / (1.0 + np.exp(np.clip(z, -30, 30)))
+    return np.concatenate([[len(z), np.logaddexp(0, -z).sum()], -(p @ pairs), ((pairs * (p * (1 - p))[:, None]).T @ pairs).ravel()])
+
+
+def descend(measure: Callable[[np.ndarray], np.ndarray], scale: np.ndarray, decay: float = 1e-4, steps: int = 12) -> np.ndarray:
+    """Newton's method on the pairs' mean loss; ``measure`` gives the sums of ``summed`` over all pairs.  Features are scaled so that
+    rare shapes count as much as common measures."""
+    size = len(scale)
+    w, back, best = np.zeros(size), np.zeros(size), np.inf
+    for _ in range(steps):
+        sums = measure(w * scale)
+        n = sums[0]
+        loss = sums[1] / n + decay / 2 * (w @ w)
+        if loss > best:
+            w = (w + back) / 2
+            continue
+        gain, best = best - loss, loss
+        if gain < 1e-5:
+            break
+        gradient = sums[2 : size + 2] * scale / n + decay * w
+        curve = sums[size + 2 :].reshape(size, size) * np.outer(scale, scale) / n + decay * np.eye(size)
+        w, back = w - np.linalg.solve(curve, gradient), w
+    else:
+        w = back
+    return w * scale
+
+
+def scale_of(n: float, total: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    return 1.0 / (np.sqrt(np.maximum(squares / n - (total / n) ** 2, 0)) + 0.01)
+
+
+def curve_of(w: np.ndarray, low: float, high: float, cut: float) -> Ranker:
+    """low, high: the mean scores of either label."""
+    return Ranker(w, cut, float(8.0 / max(high - low, 1e-9)))
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> Ranker:
+    """x: features, y: 0 or 1; what ``train`` does, for one block that is at hand."""
     better, worse = x[y == 1], x[y == 0]
     if not len(better) or not len(worse):
         return Ranker(np.zeros(x.shape[1] if x.ndim == 2 else SIZE), 0.0, 0.0)
-    rng = np.random.default_rng(seed)
-    # Pairs by index; features are scaled so that rare shapes count as much as common measures.
-    scale = 1.0 / (x.std(0) + 0.01)
-    i, j = rng.integers(len(better), size=pairs), rng.integers(len(worse), size=pairs)
-    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    up, down = better * scale, worse * scale
-    for t in range(1, steps + 1):
-        p = 1.0 / (1.0 + np.exp(np.clip((up @ w)[i] - (down @ w)[j], -30, 30)))
-        g = -(np.bincount(i, p, len(up)) @ up - np.bincount(j, p, len(down)) @ down) / pairs + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    w = w * scale
-    order = np.argsort(x @ w, kind="stable")
-    s = (x @ w)[order]
-    # The quantile that leaves the rejected share below it, midway between its neighbours; rows weigh as their label does.
-    share = len(worse) / len(y) if share is None else share
-    below = np.cumsum(np.where(y == 0, share / len(worse), (1 - share) / len(better))[order])
-    at = min(max(int(np.searchsorted(below, share - 1e-9)) + 1, 1), len(s) - 1)
-    high, low = np.median(better @ w), np.median(worse @ w)
-    return Ranker(w, float((s[at - 1] + s[at]) / 2), float(8.0 / max(high - low, 1e-9)))
-
-
-def train(docs: DataFrame, labels: DataFrame, limit: int = 12_000) -> Ranker:
-    """Fitted on at most ``limit`` labelled rows with crc32(doc_id) mod 4 <> 2; their vectors, not texts, are collected."""
+    pairs = differences(0, better, worse)
+    wide = x.astype(np.float64)
+    w = descend(lambda w: summed(pairs, w), scale_of(len(x), wide.sum(0), (wide**2).sum(0)))
+    s = np.sort(wide @ w)
+    return curve_of(w, float((worse @ w).mean()), float((better @ w).mean()), float((s[len(worse) - 1] + s[len(worse)]) / 2))
+
+
+def at_ranks(scores: DataFrame, ranks: list[int]) -> list[float]:
+    """The scores (s) of these ranks, from 0 on: counted by bins between bounds, until what may be it are few values."""
+    out = []
+    for rank in ranks:
+        low, high = scores.agg(F.min("s"), F.max("s")).first()
+        rest = scores
+        while True:
+            bin_of = F.least(F.floor((F.col("s") - low) / max((high - low) / 65536, 5e-324)), F.lit(65535))
+            counts = sorted(map(tuple, rest.groupBy(bin_of.alias("b")).agg(F.count("*"), F.min("s"), F.max("s")).collect())) if high > low else [(0, 1 << 62, low, high)]
+            for _, n, low, high in counts:  # noqa: B007
+                if rank < n:
+                    break
+                rank -= n
+            if low == high or len(counts) == 1:
+                out.append(low)
+                break
+            rest = rest.filter((F.col("s") >= low) & (F.col("s") <= high))
+    return out
+
+
+#: Rows of a block of pairs.
+BLOCK = 4096
+
+
+def vectors_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, label, x) of every labelled document with crc32(doc_id) mod 4 <> 2; a document with several labels counts with the
+    smallest, one of which several rows have the id with that of the smallest hash.  Vectors, not texts, are shuffled."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold("doc_id", 4) != 2))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("label")).filter(F.col("label").isin(0, 1))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             x = [features(t, words).astype(np.float16).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"].cast(pa.int32()), pa.array(x, pa.binary())], names=["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(x, pa.binary())], names=["doc_id", "mark", "x"])
+
+    texts = with_maybe(docs.select("doc_id", "text"), known, "maybe").filter("maybe").select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    found = map_arrow(texts, vectors, "doc_id long, mark long, x binary").join(known, "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct("mark", "x")).alias("m")).select("doc_id", "label", F.col("m.x").alias("x"))
+
+
+def stacked(x: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x), np.float16).astype(np.float32).reshape(-1, SIZE)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Ranker:
+    """Fitted on all labelled rows with crc32(doc_id) mod 4 <> 2.
+
+    They are dealt into blocks by a hash of their id; where one label is rare, its rows are in so many blocks that each has some 512 of them
+    or all.  Each pass sums over the blocks' pairs where they are; sums of fixed size, of at most 64 tasks, come to the driver.
+    """
+    rows = materialize(vectors_of(docs, labels), "quality-vectors")
+    number = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(number) < 2:
+        return Ranker(np.zeros(SIZE), 0.0, 0.0)
+    blocks = -(-max(number.values()) // BLOCK)
+    times = {label: min(blocks, -(-512 * blocks // n)) for label, n in number.items()}
+    dealt = F.transform(F.sequence(F.lit(0), F.when(F.col("label") == 0, times[0] - 1).otherwise(times[1] - 1)), lambda k: F.pmod(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) + k, F.lit(blocks)))
+    each = rows.select(F.explode(dealt).alias("block"), "label", "doc_id", "x").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("label", "doc_id", "x"))).alias("rows"))
+    side = lambda v: F.transform(F.filter("rows", lambda r: r["label"] == v), lambda r: r["x"])
+    packed = materialize(each.select("block", side(1).alias("better"), side(0).alias("worse")), "quality-blocks")
+
+    def over(table: DataFrame, act: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum(x for batch in batches for x in act(batch))
+            if not isinstance(total, int):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        return sum(np.frombuffer(r["sums"]) for r in map_arrow(table.coalesce(64), rows, "sums binary").collect())
+
+    def moments(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        x = stacked(batch["x"].to_pylist()).astype(np.float64)
+        yield np.concatenate([x.sum(0), (x**2).sum(0)])
+
+    def measure(w: np.ndarray) -> np.ndarray:
+        def act(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            for block, better, worse in zip(batch["block"].to_pylist(), batch["better"], batch["worse"]):
+                yield summed(differences(block, stacked(better.as_py()), stacked(worse.as_py())), w)
+
+        return over(packed, act)
+
+    total = over(rows.select("x"), moments)
+    w = descend(measure, scale_of(sum(number.values()), total[:SIZE], total[SIZE:]))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(stacked(batch["x"].to_pylist()).astype(np.float64) @ w)], names=["label", "s"])
 
-    rows = map_arrow(labelled_sample(docs, labels, "quality", 4, 2, limit), vectors, "doc_id long, label int, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(-1, SIZE)
-    return fit(x, np.array([r["label"] for r in rows]), label_share(labels, "quality", 4, 2))
+    scored = materialize(map_arrow(rows.select("label", "x"), scores, "label int, s double"), "quality-scores")
+    means = {r["label"]: r["m"] for r in scored.groupBy("label").agg(F.avg("s").alias("m")).collect()}
+    # The quantile that leaves the rejected share below it, midway between its neighbours.
+    return curve_of(w, means[0], means[1], sum(at_ranks(scored, [number[0] - 1, number[0]])) / 2)
 
 
 def scored(docs: DataFrame, model: Ranker, names: list[str]) -> DataFrame:

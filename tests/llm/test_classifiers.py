@@ -63,6 +63,23 @@ def test_without_labels_all_pass(spark, data):
     assert quality.accepted(data[0], data[1]).columns == data[0].columns
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """Labelled rows beyond any bound of a sample count, in blocks that all hold both labels; the cut is an exact quantile of all."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "BLOCK", 1000)
+    ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    docs = ids.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("BAD!! 12 "), "doc_id")).otherwise(F.lit("some good words here")))
+    labels = ids.withColumn("quality", (F.col("doc_id") % 10 != 0).cast("int"))
+    rows = quality.vectors_of(docs, labels)
+    assert rows.count() == labels.filter(quality.fold("doc_id", 4) != 2).count() > 14_000
+    wrong = quality.classify(docs, labels).join(labels, "doc_id").filter("predicted <> quality").count()
+    assert wrong == 0
+    scores = spark.createDataFrame([(float(i * i % 101),) for i in range(300)] + [(5.0,)] * 50, "s double")
+    s = sorted(r.s for r in scores.collect())
+    assert quality.at_ranks(scores, [0, 40, 349]) == [s[0], s[40], s[349]]
+
+
 def test_bradley_terry_orders_pairs():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 5))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import WORD, materialize
+from bytelode.llm.common import WORD, materialize, with_maybe
 
 
 @dataclass(frozen=True)
@@ -192,7 +192,15 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     same = Window.partitionBy("doc_id", "mark")
     picked = picked.withColumn("copy", F.row_number().over(same.orderBy("sid", "bucket", "row"))).withColumnRenamed("doc_id", "id")
     texts = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("mark"))
-    texts = texts.withColumn("copy", F.row_number().over(same.orderBy(F.col("source").asc_nulls_last())))
+    # Only rows that may be repeated are numbered, as that shuffles their texts once more.
+    key = F.xxhash64("doc_id", "mark").alias("key")
+    repeated = materialize(texts.groupBy("doc_id", "mark").agg(F.count("*").alias("rows")).filter("rows > 1").select(key), "mix-repeated")
+    if repeated.isEmpty():
+        texts = texts.withColumn("copy", F.lit(1))
+    else:
+        texts = with_maybe(texts.select("*", key), repeated, "maybe", "key")
+        copies = texts.filter("maybe").withColumn("copy", F.row_number().over(same.orderBy(F.col("source").asc_nulls_last())))
+        texts = texts.filter(~F.col("maybe")).withColumn("copy", F.lit(1)).unionByName(copies)
     words = F.coalesce(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.array().cast("array<string>"))
     # The words are a lambda's variable, so that they are found once for a text and not for each of its pieces.
     cut = lambda w: F.flatten(F.transform("parts", lambda p: F.slice(w, (p["skip"] + 1).cast("int"), p["length"].cast("int"))))

@@ -368,16 +368,33 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
 
 
+def meeting(lists: DataFrame, join: Join) -> DataFrame:
+    """``lists`` (g, fp, n, pos) with m, the length of a row's list; without the rows that have nobody of fitting size in their list.
+
+    Of a list in order of size, the one before or after fits if any does.
+    """
+    order = Window.partitionBy("g").orderBy("n")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = lists.select("g", "fp", "n", "pos", F.count("*").over(whole).alias("m"), F.lag("n").over(order).alias("lower"), F.lead("n").over(order).alias("upper"))
+    return rows.filter((100 * F.col("lower") >= join.percent * F.col("n")) | (100 * F.col("n") >= join.percent * F.col("upper"))).drop("lower", "upper")
+
+
 def enough(shared: DataFrame, join: Join) -> DataFrame:
     """(fp, n, shared) of the classes that share enough: at least what the smallest possible partner's prefix was drawn for."""
     live = shared.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "g", "m")).alias("shared"))
     return live.filter(F.size("shared") >= F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * join.percent + 99) / 100) / 20)))
 
 
-def classes_and_links(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame]:
-    """(documents (doc_id, mark, n, fp), links (fp, other, links)); mark: a hash of the text; see ``verified``."""
+def classes_and_links(docs: DataFrame, join: Join = Join(), among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents (doc_id, mark, n, fp), links (fp, other, links)); mark: a hash of the text; see ``verified``.
+
+    among: a table of the doc_id that count, if not all do.  Texts are neither joined with it nor written: a filter of fixed size
+    lets out most others, and the rest of these go from the sets and the lists.
+    """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
+    if among is not None:
+        texts = with_maybe(texts, among, "maybe").filter("maybe").select("doc_id", "text")
     marked = texts.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     first = materialize(map_arrow(marked, counted(join), "doc_id long, mark long, n long, fp binary, part int, counts binary"), "join-sets")
     sets = first.filter(F.col("part").isNull()).select("doc_id", "mark", "n", "fp")
@@ -387,23 +404,28 @@ def classes_and_links(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
         levels[r["part"]] = np.frombuffer(r["levels"], np.uint8)
     order = spark.sparkContext.broadcast(levels.ravel())
     # Lists of prefix shingles; a class met by several tasks is there once.
-    # Classes are named by 64 bits of their hash where that tells all of them apart, as it does below a billion or so.
+    # Classes are named by 64 bits of their hash where that tells all of them apart (those that do not count, too), as it does below a billion or so.
     names = sets.filter(F.col("fp").isNotNull()).select("fp").distinct().groupBy(F.substring("fp", 1, 8).alias("short")).count().filter("count > 1")
     width = 8 if names.isEmpty() else 16
     sets = sets.withColumn("fp", F.substring("fp", 1, width))
-    return sets, concluded(spark, lambda: links_of(texts, sets, order, width, join), "join-links")
+    if among is not None:
+        sets = materialize(sets.join(among, "doc_id", "left_semi"), "join-among")
+    return sets, concluded(spark, lambda: links_of(texts, sets, order, width, join, among is not None), "join-links")
 
 
-def links_of(texts: DataFrame, sets: DataFrame, order, width: int, join: Join) -> DataFrame:
-    """(fp, other, links) of the classes of ``sets``; order: the broadcast steps of the counters; width: bytes of a class's name."""
+def links_of(texts: DataFrame, sets: DataFrame, order, width: int, join: Join, others: bool) -> DataFrame:
+    """(fp, other, links) of the classes of ``sets``; order: the broadcast steps of the counters; width: bytes of a class's name; others:
+    whether ``texts`` may have other classes too."""
     lists = map_arrow(texts, prefixes(join, order, width), "g long, fp binary, n long, pos int").repartition("g").dropDuplicates(["g", "fp"])
-    shared = lists.withColumn("m", F.count("*").over(Window.partitionBy("g"))).filter("m > 1")
+    shared = meeting(lists, join)
     # Twice: lists get shorter by the classes that are out, and with them more classes are.
     for again in (True, False):
-        live = materialize(enough(shared, join), "join-live")
+        live = enough(shared, join)
+        if again and others:
+            live = live.join(sets.select("fp").distinct(), "fp", "left_semi")
+        live = materialize(live, "join-live")
         if again:
-            rest = live.select("fp", "n", F.inline("shared")).select("g", "fp", "n", "pos")
-            shared = rest.withColumn("m", F.count("*").over(Window.partitionBy("g"))).filter("m > 1")
+            shared = meeting(live.select("fp", "n", F.inline("shared")).select("g", "fp", "n", "pos"), join)
     fields = "g long, i int, j int, own int, fp binary, n long, pos int, before binary"
     together = ["g", "i", "j", "fp"]
     light = map_arrow(live, places(join), "g long, i int, j int, own int, fp binary, n long, pos int").repartition("g", "i", "j").sortWithinPartitions(*together)
@@ -429,9 +451,9 @@ def links_of(texts: DataFrame, sets: DataFrame, order, width: int, join: Join) -
     return blocks.mapInArrow(verified(join), "fp binary, other binary, links long")
 
 
-def grouped(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, join: Join, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents (doc_id, mark, n, fp), classes (fp, component_id, n_links) of more than one document or with links)."""
-    sets, links = classes_and_links(docs, join)
+    sets, links = classes_and_links(docs, join, among)
     return sets, concluded(docs.sparkSession, lambda: classes_of(sets, links), "join-classes")
 
 
@@ -459,10 +481,11 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
 NEAR = Join(n=5, percent=80)
 
 
-def surplus(docs: DataFrame, join: Join) -> DataFrame:
+def surplus(docs: DataFrame, join: Join, among: DataFrame | None = None) -> DataFrame:
     """(doc_id, mark, one) of the rows that are not their group's representative, which is the row with the smallest doc_id, and
-    of these the smallest hash of its text; ``one``: copies of the representative's row itself, of which one stays."""
-    return concluded(docs.sparkSession, lambda: surplus_of(*grouped(docs, join)), "join-surplus")
+    of these the smallest hash of its text; ``one``: copies of the representative's row itself, of which one stays.  Only rows whose
+    doc_id is ``among`` these are looked at, if it is given."""
+    return concluded(docs.sparkSession, lambda: surplus_of(*grouped(docs, join, among)), "join-surplus")
 
 
 def surplus_of(sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -506,8 +529,7 @@ def without_copies(docs: DataFrame, before: DataFrame, join: Join = NEAR) -> Dat
 
     def were() -> DataFrame:
         ids = materialize(docs.select("doc_id").filter(F.col("doc_id").isNotNull()), "join-ids")
-        was = materialize(with_maybe(before.select("doc_id", "text"), ids, "maybe").filter("maybe").select("doc_id", "text").join(ids, "doc_id", "left_semi"), "join-before")
-        return surplus(was, join).filter(~F.col("one")).select("doc_id").distinct()
+        return surplus(before, join, ids).filter(~F.col("one")).select("doc_id").distinct()
 
     gone = concluded(docs.sparkSession, were, "join-gone")
     mine = with_maybe(docs.select("doc_id", "text"), gone, "maybe").filter("maybe").select("doc_id", "text").join(gone, "doc_id", "left_semi")

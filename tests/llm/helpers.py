@@ -23,3 +23,16 @@ def odd(spark):
 
 def empty(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def exchanged(df):
+    """The columns of each exchange in the plan, but of broadcasts."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        if node.nodeName() == "Exchange":
+            out.append([node.output().apply(i).name() for i in range(node.output().size())])
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out

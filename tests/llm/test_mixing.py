@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from helpers import docs, empty, odd
+from helpers import docs, empty, exchanged, odd
 from pyspark.sql import functions as F
 
 from bytelode.llm import mixing
@@ -87,3 +87,24 @@ def test_odd_rows(spark):
     assert mixing.mixed_texts(odd(spark)).count() == 8
     assert mixing.mix_documents(empty(spark)).collect() == []
     assert [r.taken for r in mixing.mix_documents(docs(spark, [(1, None), (2, "")])).collect()] == [0, 0]
+
+
+def test_texts_are_shuffled_once(spark):
+    """Where no row is repeated and tables are too large for broadcasts."""
+    d, name = spark.read.parquet(f"{DATA}/documents.parquet"), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        assert sum("text" in columns for columns in exchanged(mixing.mixed_texts(d))) == 1
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_repeated_rows_are_told_apart(spark):
+    words = lambda i: " ".join(f"{i}_{k}" for k in range(100 + i))
+    rows = [(i, words(i), "en", f"s{i % 3}") for i in range(30)] + [(4, words(4), "en", "s1"), (4, words(4), "en", "s0"), (4, words(5), "en", "s0"), (None, words(6), "en", "s1"), (None, words(6), "en", None)]
+    got = mixing.mixed_texts(docs(spark, rows)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.source or "") for r in got) == sorted((-1 if i is None else i, len(t.split()), s or "") for i, t, _, s in rows)
+    assert all(len(r.text.split()) == r.taken for r in got)
+    sizes = mixing.mix_documents(docs(spark, rows)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.taken) for r in got) == sorted((-1 if r.doc_id is None else r.doc_id, r.taken) for r in sizes)

@@ -94,3 +94,9 @@ def test_one_of_each_group_stays(spark):
     text = " ".join(f"a{k}" for k in range(60))
     d = docs(spark, [(4, text), (2, text), (3, text + " more"), (9, "quite another text of some words")])
     assert sorted(r.doc_id for r in ngram_join.representatives(d).collect()) == [2, 9]
+
+
+def test_rows_that_fit_nobody_leave_their_list(spark):
+    rows = [(1, "a", 100, 0), (1, "b", 89, 1), (1, "c", 90, 2), (1, "d", 50, 0), (2, "a", 100, 1), (2, "d", 50, 1), (3, "e", 7, 0), (4, "e", 7, 1), (4, "f", 7, 3)]
+    got = ngram_join.meeting(spark.createDataFrame(rows, "g long, fp string, n long, pos int"), Join()).collect()
+    assert sorted((r.g, r.fp, r.m) for r in got) == [(1, "a", 4), (1, "b", 4), (1, "c", 4), (4, "e", 2), (4, "f", 2)]

@@ -4,11 +4,11 @@ from urllib.parse import urlparse
 
 import duckdb
 import pytest
-from helpers import odd
+from helpers import exchanged, odd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bytelode.llm import decontam, linededup, ngram_join, quality, queries
+from bytelode.llm import common, decontam, linededup, ngram_join, quality, queries
 from bytelode.llm.common import materialize, shared_dir, table
 from conftest import DATA
 from test_ngram_join import brute
@@ -114,6 +114,40 @@ def test_tables_go_when_nothing_reads_them(spark):
     assert [x for x in names(before) if not x.startswith("mix-")] == ["stage-decontamination"]
 
 
+def test_near_duplicates_write_and_shuffle_few_texts(spark, tmp_path, monkeypatch):
+    """Where tables are too large for broadcasts: no table of texts is written, and no exchange has texts but of possible copies."""
+    written = []
+
+    def seen(df, name):
+        written.append((name, df.columns, [x for x in exchanged(df) if "text" in x]))
+        return materialize(df, name)
+
+    monkeypatch.setattr(ngram_join, "materialize", seen)
+    monkeypatch.setattr(common, "materialize", seen)
+    docs = table(spark, DATA, "documents")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.keep_representatives(spark, docs, DATA)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "join-copies" in {name for name, _, _ in written} and 0 < kept.count() < docs.count()
+    assert [name for name, columns, _ in written if "text" in columns] == []
+    # What may have gone is a copy in both tables or not; that is looked up by text.
+    assert {name for name, _, texts in written if texts} <= {"join-copies"}
+
+
+def test_only_documents_that_stay_count_as_they_were(spark, tmp_path):
+    """Of three documents, each a near copy of the next, the middle one has gone: it links the others no more."""
+    words = [f"w{i}" for i in range(200)]
+    texts = {1: words, 2: words[12:] + [f"x{i}" for i in range(12)], 3: words[24:] + [f"x{i}" for i in range(24)], 4: words}
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in texts.items()], table(spark, DATA, "documents").schema)
+    kept = lambda ids: sorted(r.doc_id for r in ngram_join.without_copies(docs.filter(F.col("doc_id").isin(ids)), docs).collect())
+    assert kept([1, 2, 3, 4]) == [1]
+    # Equal documents are one class, of which one alone may be there.
+    assert kept([1, 3]) == [1, 3] and kept([3, 4]) == [3, 4] and kept([2, 3, 4]) == [2]
+
+
 def test_repeated_ids(spark):
     """A row goes by its own text, not by its id; of a repeated representative one row stays."""
     text = " ".join(f"w{i}" for i in range(40))
